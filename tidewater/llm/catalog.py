@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op9_decontamination
+from .licences import op7_licences
+from .mixing import op4_mixing
 from .pii import op10_pii
 from .quality import op6_quality
+from .sharding import op1_sharding
+from .urls import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality, op9_decontamination, op10_pii)}
+    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op4_mixing, op6_quality, op7_licences, op9_decontamination, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def of(alias: str, name: str) -> Column:
+    """Column ``name`` of the table called ``alias``."""
+    return F.col(alias + ".`" + name.replace("`", "``") + "`")
+
+
 def put(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with column ``name`` set; columns of that name, in any case, are replaced."""
     return df.select(*[quoted(c) for c in df.columns if c.lower() != name.lower()], value.alias(name))
