@@ -13,11 +13,12 @@ from .pii import op10_pii
 from .quality import op6_quality
 from .sharding import op1_sharding
 from .substrings import op5_substrings
+from .suffixes import op3_suffixes
 from .urls import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op4_mixing, op5_substrings, op6_quality, op7_licences, op9_decontamination, op10_pii)}
+    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_suffixes, op4_mixing, op5_substrings, op6_quality, op7_licences, op9_decontamination, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

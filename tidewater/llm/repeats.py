@@ -12,12 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import quoted
 
 BLOCK = 8 << 20
+U64 = np.uint64
+#: On a place in a message: more than one has its hash in the block.
+SURE = np.int64(1) << 31
 LAST = np.iinfo(np.int64).max
 MESSAGE = "bucket int, payload binary"
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
@@ -45,7 +49,7 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.
     for batch in batches:
         at = 0
         texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
         while at < len(batch):
             done = int(ends[at - 1]) if at else 0
             upto = min(len(batch), max(at + 1, int(np.searchsorted(ends, done + size - have, "right"))))
@@ -121,6 +125,55 @@ def found(docs: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(docs["k1"][used]), pa.array(docs["k2"][used]), lists], schema=_FOUND)
 
 
+def send(docs: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Messages with a block's hashes (five bytes of each are enough beside the bucket). Those that the block has twice
+    are findings already: their places go as such, and one of them goes with the hash, marked SURE."""
+    if not len(doc):
+        return []
+    order = np.argsort(hashes, kind="stable")
+    group, size = groups(hashes[order])
+    twice, leader = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    twice[order] = size[group] > 1
+    leader[order[np.flatnonzero(np.diff(group, prepend=-1))]] = True
+    rows, own = [], np.flatnonzero(twice)
+    if len(own):
+        rows.append((int(hashes[0] % U64(buckets)), pack(docs, doc[own], at[own], 1)))
+    one = np.flatnonzero(leader)
+    marked = at[one] | np.where(twice[one], SURE, 0)
+    low = hashes[one].view(np.uint8).reshape(-1, 8)[:, :5]
+    for b, part in dealt(((hashes[one] >> U64(40)) % U64(buckets)).astype(np.int64)):
+        rows.append((b, pack(docs, doc[one[part]], marked[part], 0, np.ascontiguousarray(low[part]).tobytes(), 5)))
+    return rows
+
+
+def anchored(length: int) -> Callable[[list], pa.Table]:
+    """For a bucket's messages: the places of hashes that come twice or more, at least once at a block start (a multiple of length)."""
+
+    def reduce(parts: list) -> pa.Table:
+        docs, doc, at, hashes, own_doc, own_at, have = [], [], [], [], [], [], 0
+        for kind, d, i, a, more, width in parts:
+            docs.append(d)
+            (own_doc if kind else doc).append(i + have)
+            (own_at if kind else at).append(a.astype(np.int64))
+            if not kind:
+                low = np.zeros((len(i), 8), np.uint8)
+                low[:, :width] = np.frombuffer(more, np.uint8).reshape(-1, width)
+                hashes.append(low.view("<u8").ravel())
+            have += len(d)
+        if hashes:
+            doc, at, hashes = np.concatenate(doc), np.concatenate(at), np.concatenate(hashes)
+            order = np.argsort(hashes, kind="stable")
+            group, size = groups(hashes[order])
+            index = ((at[order] & SURE) > 0) | (at[order] % length == 0)
+            good = (size > 1) & (np.bincount(group, index) > 0)
+            chosen = order[good[group]]
+            own_doc.append(doc[chosen])
+            own_at.append(at[chosen] & ~SURE)
+        return found(np.concatenate(docs), np.concatenate(own_doc), np.concatenate(own_at))
+
+    return reduce
+
+
 def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted values: the group of each, and the groups' sizes."""
     new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)

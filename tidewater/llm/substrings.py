@@ -15,7 +15,6 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (blocks uses pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,6 @@ from .columns import fresh, of, quoted
 
 WINDOW = 20
 RESULT = "k1 bigint, k2 bigint, id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept_sha256 string"
-SURE = np.int64(1) << 31
 
 
 def block_length(window: int) -> int:
@@ -56,60 +54,11 @@ def probes(buckets: int, length: int):
             some = at % length <= length // 2
             parts.append((doc[some] + lo, at[some], fp[some]))
         doc, at, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(doc):
-            return []
-        docs, rows = R.docs_of(block), []
-        order = np.argsort(fp, kind="stable")
-        group, size = R.groups(fp[order])
-        twice = np.zeros(len(fp), bool)
-        twice[order] = size[group] > 1
-        leader = np.zeros(len(fp), bool)
-        leader[order[np.flatnonzero(np.diff(group, prepend=-1))]] = True
-        if twice.any():
-            own = np.flatnonzero(twice)
-            rows.append((int(fp[0] % K.U64(buckets)), R.pack(docs, doc[own], at[own], 1)))
-        send = np.flatnonzero(leader)
-        flag = np.where(twice[send], SURE, 0)
-        bucket = ((fp[send] >> K.U64(40)) % K.U64(buckets)).astype(np.int64)
-        low = fp[send].view(np.uint8).reshape(-1, 8)[:, :5]
-        for b, part in R.dealt(bucket):
-            rows.append((b, R.pack(docs, doc[send[part]], at[send[part]] | flag[part], 0, np.ascontiguousarray(low[part]).tobytes(), 5)))
-        return rows
+        return R.send(R.docs_of(block), doc, at, fp, buckets)
 
     return emit
 
 
-def anchored(length: int):
-    def reduce(parts: list) -> pa.Table:
-        docs, doc, at, fp, have = [], [], [], [], 0
-        own = []
-        for kind, d, i, a, more, width in parts:
-            docs.append(d)
-            if kind:
-                own.append((i + have, a))
-            else:
-                doc.append(i + have)
-                at.append(a.astype(np.int64))
-                low = np.zeros((len(i), 8), np.uint8)
-                low[:, :width] = np.frombuffer(more, np.uint8).reshape(-1, width)
-                fp.append(low.view("<u8").ravel())
-            have += len(d)
-        docs = np.concatenate(docs)
-        hit_doc, hit_at = [x[0] for x in own], [x[1].astype(np.int64) for x in own]
-        if fp:
-            doc, at, fp = np.concatenate(doc), np.concatenate(at), np.concatenate(fp)
-            order = np.argsort(fp, kind="stable")
-            group, size = R.groups(fp[order])
-            index = ((at[order] & SURE) > 0) | (at[order] % length == 0)  # of a block, or known to be met
-            good = (size > 1) & (np.bincount(group, index) > 0)
-            chosen = order[good[group]]
-            hit_doc.append(doc[chosen])
-            hit_at.append(at[chosen] & ~SURE)
-        return R.found(docs, np.concatenate(hit_doc), np.concatenate(hit_at)) if hit_doc else R.found(docs, np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    return reduce
-
-
 def _around(block: pa.Table, lo: int, first: np.ndarray, reach: tuple[int, int], n: int) -> np.ndarray:
     """A mask of the slice's words within [hit - reach[0], hit + reach[1]) of the documents' hits."""
     lists = block.column("at").slice(lo, len(first) - 1).combine_chunks()
@@ -207,7 +156,7 @@ def repeated_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     length = block_length(window)
     buckets = R.bucket_count(df, text, 12 << 20)
     texts_ = R.distinct(df, id_column, text)
-    hits = R.by_text(R.through_buckets(texts_, probes(buckets, length), anchored(length)))
+    hits = R.by_text(R.through_buckets(texts_, probes(buckets, length), R.anchored(length)))
     near = texts_.join(hits, ["k1", "k2"])
     windows = R.by_text(R.through_buckets(near, candidates(buckets, window, length), later))
     judged = texts_.join(windows, ["k1", "k2"], "left").mapInArrow(_removed(window), RESULT).alias("j")
