@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op9_decontamination
+from .jaccard import op8_jaccard
 from .licences import op7_licences
 from .mixing import op4_mixing
 from .pii import op10_pii
@@ -18,7 +19,7 @@ from .urls import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_suffixes, op4_mixing, op5_substrings, op6_quality, op7_licences, op9_decontamination, op10_pii)}
+    return {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_suffixes, op4_mixing, op5_substrings, op6_quality, op7_licences, op8_jaccard, op9_decontamination, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
