@@ -1,10 +1,67 @@
-"""The corpus pipeline: documents through five stages, each of which works on all that the one before kept."""
+"""The corpus pipeline: documents through five stages, each of which works on all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last adds
+``shard`` and ``slot``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm import decontam, jaccard, mixing, quality, sharding
+from tidewater.llm.columns import quoted
+from tidewater.llm.store import stored
+
+SHARDS = 40
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, if there is one, as long as the text now is; null where there is no text."""
+    return docs.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else quoted(c) for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest doc_id."""
+    return jaccard.representatives(docs, width=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly such passages go."""
+    return _recounted(decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, or up to three times."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Everything in random order in equal shards."""
+    return sharding.shard(docs, SHARDS, seed=11)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mixture),
+    ("sharding", shards),
+]
+#: Compression ratios and hashed shingles have no form in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents through all stages; what each returns is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, name.replace(" ", "-"))
+    return docs
