@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boards
+from . import boards, caches, systems, traffic
 
-MODULES = (boards,)
+BOOKS = (boards.BOOK, traffic.BOOK, caches.BOOK, systems.BOOK)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
+    return {name: query for book in BOOKS for name, query in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}
