@@ -10,9 +10,10 @@ most shingles that share a bit with others of their set. Two nodes, or two sets,
 common than their bitmaps have bits in common plus that surplus; where that doesn't reach the least overlap
 that their sizes allow, the pair is left. What remains is compared exactly, unless links found already join it.
 
-Groups are joined in three rounds, components after each: by one shingle of each document; by all of them, with
-one document of each component; and at last by all, with every document of the groups that still
-hold several components. Only the last has to be complete, and little is left for it.
+Groups are joined in three rounds, components after each. First each document goes to the group of its first
+prefix shingle. Then components of several documents send one of them to the groups of all. What is left is
+complete but planned: of the pairs in one group, from different components, not met in the first round, each is
+due in the group of the first shingle that both have; only documents with such a pair go there.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ LOW = K.U64(1 << 62)
 KEPT = 6
 #: Documents of a group that are joined in one piece, and leaves' sets.
 PIECE, LEAF = 128, 8
+#: Documents of a group that are planned in one piece, and shingles that are looked at together for it.
+PLAN, COLUMNS = 512, 4096
+PLANNED = "g bigint, k1 bigint, k2 bigint, l1 bigint, l2 bigint"
+_PLANNED = pa.schema([(c.split()[0], pa.int64()) for c in PLANNED.split(", ")])
 SETS = "k1 bigint, k2 bigint, id bigint, n bigint, shingles binary, prefix array<bigint>"
 _SETS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 LINKS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
@@ -238,6 +243,53 @@ def join_groups(percent: int):
     return run
 
 
+def plan_groups(percent: int):
+    """For rows (g, token, k1, k2, l1, l2, met, n, prefix) of some groups: PLANNED rows, the documents that have a pair due, in
+    groups of two pieces at most."""
+
+    def due(w: np.uint64, label: np.ndarray, met: np.ndarray, n: np.ndarray, prefixes: list[np.ndarray]) -> np.ndarray:
+        m = len(n)
+        need = (label[:, None] != label[None, :]) & (met[:, None] != met[None, :]) & (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
+        if need.any():
+            owner = np.repeat(np.arange(m), [len(x) for x in prefixes])
+            shingle = np.concatenate(prefixes).view(K.U64)
+            before = shingle < w
+            known, column, times = np.unique(shingle[before], return_inverse=True, return_counts=True)
+            several = times > 1
+            number = np.cumsum(several) - 1
+            row, column = owner[before][several[column]], number[column][several[column]]
+            for at in range(0, int(several.sum()), COLUMNS):
+                some = (column >= at) & (column < at + COLUMNS)
+                has = np.zeros((m, COLUMNS), np.float32)
+                has[row[some], column[some] - at] = 1
+                need &= (has @ has.T) == 0
+        return need
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ("g", "token", "k1", "k2", "l1", "l2", "met", "n")
+        a = {c: table.column(c).to_numpy() for c in names}
+        prefix = table.column("prefix").combine_chunks()
+        prefix = pa.concat_arrays(prefix.chunks) if isinstance(prefix, pa.ChunkedArray) else prefix
+        ends, values = prefix.offsets.to_numpy(), prefix.values.to_numpy()
+        out: list[np.ndarray] = []
+        for g, part in R.dealt(a["g"]):
+            _, one = np.unique(a["k1"][part] ^ K.mix(a["k2"][part].view(K.U64)).view(np.int64), return_index=True)
+            part = part[one]
+            _, label = np.unique(np.stack([a["l1"][part], a["l2"][part]], 1), axis=0, return_inverse=True)
+            need = due(a["token"][part[:1]].view(K.U64)[0], label.ravel(), a["met"][part], a["n"][part], [values[ends[i] : ends[i + 1]] for i in part.tolist()])
+            for i in range(0, len(part), PIECE):
+                for j in range(i, len(part), PIECE):
+                    block = need[i : i + PIECE, j : j + PIECE]
+                    if block.any():
+                        chosen = np.union1d(i + np.flatnonzero(block.any(1)), j + np.flatnonzero(block.any(0)))
+                        key = K.mix(np.array([g], np.int64).view(K.U64) + K.U64(1 + i * PLAN * 8 + j)).view(np.int64)
+                        out.append(np.stack([np.repeat(key, len(chosen)), *(a[c][part[chosen]] for c in ("k1", "k2", "l1", "l2"))], 1))
+        rows = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+        return pa.Table.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(5)], schema=_PLANNED)
+
+    return run
+
+
 def _joined(members: DataFrame, sets: DataFrame | None, percent: int, buckets: int) -> DataFrame:
     """Links (a, b) between the vertices of members (g, v, label), with their sets from ``sets`` unless they have them."""
     if sets is not None:
@@ -270,9 +322,9 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     is replaced; an empty table gives an empty one.
 
     Texts are shuffled once, for the distinct ones; after that a document is its shingles' hashes. Large groups are
-    joined in pieces of PIECE documents, and in the last round by pairs of pieces, so no task holds a whole group.
+    joined in pieces of PIECE documents, and planned by pairs of pieces of PLAN, so no task holds a whole group.
     """
-    buckets = R.bucket_count(df, text, 8 << 20, 256)
+    buckets = R.bucket_count(df, text, 16 << 20, 64)
     texts_ = R.distinct(df, id_column, text)
     shared = R.by_text(R.through_buckets(texts_, first_shingles(buckets, width, percent), R.anchored(1)))
     sets = stored(texts_.join(shared, ["k1", "k2"], "left").select("k1", "k2", "id", "text", "at").mapInArrow(sets_of(width, percent), SETS), "shingle-sets")
@@ -280,23 +332,29 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     vertex = F.struct("k1", "k2")
     labels = stored(able.select(vertex.alias("v"), vertex.alias("label")), "labels")
 
-    # One shingle of each document: nearly all links. Large groups go in pieces.
-    first = able.select(vertex.alias("v"), vertex.alias("label"), F.element_at("prefix", 1).alias("token"), "shingles")
-    large = stored(first.groupBy("token").count().where(F.col("count") > PIECE), "large-groups")
+    # The first shingle of each document. Large groups go in pieces.
+    token = F.element_at("prefix", 1)
+    large = stored(able.groupBy(token.alias("token")).count().where(F.col("count") > PIECE), "large-groups")
     large = F.broadcast(large) if large.count() <= 100_000 else large
-    pieces = first.join(large, "token", "left").withColumn("g", F.xxhash64("token", F.pmod(F.xxhash64("v"), F.coalesce(F.ceil(F.col("count") / PIECE), F.lit(1)))))
-    labels = _relabelled(labels, _joined(pieces.select("g", "v", "label", "shingles"), None, percent, buckets))
+    parts = F.coalesce(F.ceil(F.col("count") / PIECE), F.lit(1))
+    first = able.withColumn("token", token).join(large, "token", "left").select("k1", "k2", "n", "prefix", "shingles", F.xxhash64("token", F.pmod(F.xxhash64(vertex), parts)).alias("met"))
+    labels = _relabelled(labels, _joined(first.select(F.col("met").alias("g"), vertex.alias("v"), vertex.alias("label"), "shingles"), None, percent, buckets))
 
-    # All shingles, one document of each component.
+    # One document of each component of several, by all its shingles.
     members = able.select(vertex.alias("v"), F.explode("prefix").alias("token"))
-    lead = members.join(labels, "v").groupBy("token", "label").agg(F.min("v").alias("v"))
+    several = stored(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label"), "several")
+    lead = members.join(labels.join(several, "label", "left_semi"), "v").groupBy("token", "label").agg(F.min("v").alias("v"))
     grouped = _groups(lead).withColumn("g", F.xxhash64("token", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / PIECE))))
     labels = _relabelled(labels, _joined(grouped.select("g", "v", "label"), able, percent, buckets))
 
-    # All shingles and documents, of groups with several components; by pairs of pieces.
-    rest = _groups(members.join(labels, "v")).withColumn("pieces", F.ceil(F.col("size") / PIECE)).withColumn("own", F.pmod(F.xxhash64("v"), F.col("pieces")))
+    # All pairs that are left, planned; of very large groups by pairs of pieces.
+    rest = _groups(members.join(labels, "v")).withColumn("pieces", F.ceil(F.col("size") / PLAN)).withColumn("own", F.pmod(F.xxhash64("v"), F.col("pieces")))
     pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))).withColumn("g", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-    labels = _relabelled(labels, _joined(pairs.select("g", "v", "label"), able, percent, buckets))
+    narrow = first.select(vertex.alias("v"), "met", "n", "prefix")
+    wide = pairs.select("g", "token", "v", "label").join(narrow, "v").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("bucket"), "g", "token", "v.k1", "v.k2", F.col("label.k1").alias("l1"), F.col("label.k2").alias("l2"), "met", "n", "prefix")
+    due = wide.groupBy("bucket").applyInArrow(plan_groups(percent), PLANNED)
+    pair = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
+    labels = _relabelled(labels, _joined(due.select("g", pair("k1", "k2").alias("v"), pair("l1", "l2").alias("label")), able, percent, buckets))
 
     judged = sets.select(vertex.alias("v"), "id", "n").join(labels, "v", "left").select("v", "id", "n", F.coalesce("label", "v").alias("label"))
     least = stored(judged.groupBy("label").agg(F.min("id").alias("least")), "least-ids")
