@@ -35,8 +35,9 @@ def shard(df: DataFrame, shards: int, seed: int = 0, id_column: str = "doc_id",
     row = F.struct(F.xxhash64(id_, body, F.lit(seed), F.lit("order")).alias("h"), F.struct(*[quoted(c) for c in had]).alias("row"))
     packed = df.select(scatter.alias("bucket"), row.alias("r")).repartition(max(1, buckets // 4), "bucket").groupBy("bucket").agg(F.collect_list("r").alias("rows"))
     steady = F.array_sort("rows", lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0))
-    placed = packed.withColumn("rows", steady).join(offsets, "bucket").sortWithinPartitions("bucket")
-    dealt = placed.select("offset", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("p", "r"))
+    # The seed runs on from bucket to bucket of a partition: their order and partition must not depend on the join's plan.
+    shuffled = packed.withColumn("rows", steady).sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
+    dealt = shuffled.join(offsets, "bucket").select("offset", F.posexplode("rows").alias("p", "r"))
     few, extra = divmod(int(total["rows"]), shards)  # the first ``extra`` shards get few + 1 rows
     at, head = F.col("offset") + F.col("p"), extra * (few + 1)
     big = dealt.select(F.col("r.row").alias("row"), at.alias("at"))
