@@ -136,9 +136,10 @@ def calibrated(scored: DataFrame) -> float:
     below, everything = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     under = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0)) / F.sum(c).over(everything)
     both = (F.sum("a").over(everything) > 0) & (F.sum("r").over(everything) > 0)
-    gains = bins.select("bin", F.when(both, under("r") - under("a")).alias("gain")).where("gain is not null")
-    best = gains.orderBy(F.desc("gain"), F.abs("bin"), "bin").limit(1).collect()
-    return best[0]["bin"] / 100 if best else 0.0
+    lower = F.coalesce(F.lag("bin").over(W.orderBy("bin")) + 1, F.col("bin"))  # no score lies from there to the bin
+    gains = bins.select(((F.col("bin") + lower) / 200).alias("limit"), F.when(both, under("r") - under("a")).alias("gain")).where("gain is not null")
+    best = gains.orderBy(F.desc("gain"), F.abs("limit"), "limit").limit(1).collect()
+    return best[0]["limit"] if best else 0.0
 
 
 def url_filter(df: DataFrame, known: Sequence[Rule], url: str = "url", out: str = "url_filter", held_out: int = 10) -> DataFrame:
