@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boards, caches, systems, traffic
+from . import boards, caches, streams, systems, traffic
 
-BOOKS = (boards.BOOK, traffic.BOOK, caches.BOOK, systems.BOOK)
+BOOKS = (boards.BOOK, traffic.BOOK, caches.BOOK, systems.BOOK, streams.BOOK)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1 @@
-"""Part of tidewater."""
+"""Structured Streaming forms of the board, dedup and reservation operators."""
