@@ -31,12 +31,12 @@ SPELLINGS = (
     ("https?", "http"),
 )
 #: Lines that say whose the text is, not what it allows.
-OWNER = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b(?=[^\n]*(?:[0-9]{4}|\(c\)|©|<|\[))|\(c\)|©|all rights reserved)[^\n]*$"
+OWNER = r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n][^\n]*(?:[0-9]{4}|\(c\)|©|<|\[)|\(c\)|©|all rights reserved)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
     """The form in which two copies of one licence are equal. Null stays null."""
-    plain = F.regexp_replace(F.lower(F.regexp_replace(text, "\r\n?", "\n")), OWNER, " ")
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, "\r\n?", "\n")), OWNER, "$1")
     plain = F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")
     for a, b in SPELLINGS:
         plain = F.regexp_replace(plain, r"\b" + a, b) if a != SPELLINGS[0][0] else F.regexp_replace(plain, r"\b(sub)?" + a + r"\b", "$1licens$2")
