@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.hashing import coin, shard_of
+from ..functions.hashing import coin, fnv1a, shard_of
+from .policies import SEEDS
 
 
 def key_counts(traffic: DataFrame, key: str) -> DataFrame:
@@ -57,3 +58,20 @@ def sharded_counter(increments: DataFrame, key: str, by: Column, seq: str, ways:
 def since(traffic: DataFrame, ts: str, reset: Column) -> DataFrame:
     """Traffic after counters were reset: data stay, only what is counted changes."""
     return traffic.where(F.col(ts) >= reset)
+
+
+def _cells(key: str, width: int) -> Column:
+    """The cells (row, slot) of a key, one for each seed."""
+    text = F.col(key).cast("string")
+    return F.array(*[F.struct(F.lit(r).alias("row"), F.pmod(fnv1a(text, seed), F.lit(width)).alias("slot")) for r, seed in enumerate(SEEDS)])
+
+
+def sketch(traffic: DataFrame, key: str, width: int) -> DataFrame:
+    """Count-min sketch as rows (row, slot, n): keys are counted first, so each distinct key is hashed once; width bounds the rows."""
+    return key_counts(traffic, key).select("requests", F.inline(_cells(key, width))).groupBy("row", "slot").agg(F.sum("requests").alias("n"))
+
+
+def estimates(keys: DataFrame, key: str, cells: DataFrame, width: int) -> DataFrame:
+    """(key, estimate): the least of a key's cells, never below its count. The sketch, len(SEEDS) * width rows, is broadcast."""
+    asked = keys.select(key).distinct().select(key, F.inline(_cells(key, width)))
+    return asked.join(F.broadcast(cells), ["row", "slot"], "left").groupBy(key).agg(F.min(F.coalesce("n", F.lit(0).cast("bigint"))).alias("estimate"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import hotkeys as H
 from ..operators import replay as R
+from ..operators.policies import SEEDS
 from ..sources import traces
 from .base import Book, table
 from .sqlparts import coin as sql_coin
+from .sqlparts import fnv1a_from
 
 BOOK = Book()
 TICK = "epoch(ts)::BIGINT"
@@ -155,10 +158,15 @@ def scan_trace(spark, d):
     return traces.scan(spark)
 
 
-@BOOK.add("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
-def sketch_bound(spark, d):
-    """Count-min estimates stand beside exact counts in tests; here the exact ones."""
-    return table(spark, d, "events", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+_CELLS = " UNION ALL ".join(f"SELECT user_id, {r} AS row, {fnv1a_from('k', seed)} % 128 AS slot FROM (SELECT DISTINCT user_id, user_id::VARCHAR AS k FROM events)" for r, seed in enumerate(SEEDS))
+
+
+@BOOK.add(f"""WITH c AS ({_CELLS}), n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT row, slot, sum(n)::BIGINT AS n FROM c JOIN n USING (user_id) GROUP BY 1, 2)
+SELECT user_id, min(t.n) AS estimate, any_value(n.n) AS requests FROM c JOIN t USING (row, slot) JOIN n USING (user_id) GROUP BY 1""")
+def sketch_estimates(spark, d):
+    """Estimates from 4 rows of 128 counters, beside the exact counts."""
+    e = table(spark, d, "events", "user_id")
+    return H.estimates(e, "user_id", H.sketch(e, "user_id", 128), 128).join(H.key_counts(e, "user_id"), "user_id")
 
 
 @BOOK.add()

@@ -11,8 +11,12 @@ def _fold(s: str, start: str, step: str) -> str:
     return f"list_reduce(list_prepend({start}::BIGINT, {codes}), lambda h, c: ({step}) & {M})"
 
 
+def fnv1a_from(s: str, start: int) -> str:
+    return _fold(s, str(start), "xor(h, c) * 16777619")
+
+
 def fnv1a(s: str) -> str:
-    return _fold(s, "2166136261", "xor(h, c) * 16777619")
+    return fnv1a_from(s, 2166136261)
 
 
 def djb2(s: str) -> str:
