@@ -42,8 +42,10 @@ PIECE, LEAF = 128, 8
 PLAN, COLUMNS = 512, 4096
 PLANNED = "g bigint, k1 bigint, k2 bigint, l1 bigint, l2 bigint"
 _PLANNED = pa.schema([(c.split()[0], pa.int64()) for c in PLANNED.split(", ")])
-SETS = "k1 bigint, k2 bigint, id bigint, n bigint, shingles binary, prefix array<bigint>"
-_SETS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+SETS = "k1 bigint, k2 bigint, id bigint, n bigint, shingles binary, room int, shared array<bigint>"
+_SETS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary()), ("room", pa.int32()), ("shared", pa.list_(pa.int64()))])
+#: Shingles of more than HOT documents come late in the order; MOST of them at most are looked up, the most frequent.
+HOT, MOST = 128, 200_000
 LINKS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
 _LINKS = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
 
@@ -100,12 +102,16 @@ def first_shingles(buckets: int, width: int, percent: int):
 
 
 def sets_of(width: int, percent: int):
-    """Of texts with the places of their shared sent shingles: SETS rows; without set and prefix where nothing can link."""
+    """Of texts with the places of their shared sent shingles: SETS rows; without a set where nothing can link.
+
+    ``shared`` holds the low shared shingles, and of the others those that a prefix may reach; ``room`` is how much of a
+    prefix the shingles that nobody shares leave.
+    """
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in R.blocks(batches):
             docs, lists = R.docs_of(block), block.column("at").to_pylist()
-            size, packed, prefix = [], [], []
+            size, packed, rooms, lists_out = [], [], [], []
             for lo, hi, data, offs in K.slices(R.texts(block)):
                 value, bounds = shingles(data, offs, width)
                 many = sent(value, bounds, percent)
@@ -120,20 +126,46 @@ def sets_of(width: int, percent: int):
                         n_low = int(np.searchsorted(shared, low))
                         room = lack + 1 - (low - n_low)  # what the shingles that nobody shares leave of the prefix
                         if room > 0:
-                            chosen = shared[:n_low][:room]
-                            if room > n_low:
-                                chosen = np.concatenate([chosen, shared[n_low:][shared[n_low:] < low + room - n_low]])
+                            chosen = np.concatenate([shared[:n_low], shared[n_low:][shared[n_low:] < low + max(0, room - n_low)]])
                     if chosen is None or not len(chosen):
                         packed.append(None)
-                        prefix.append(None)
+                        rooms.append(None)
+                        lists_out.append(None)
                     else:
+                        rooms.append(room)
                         packed.append(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes())
-                        prefix.append(own[chosen].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs["k1"]), pa.array(docs["k2"]), block.column("id").combine_chunks(), pa.array(size, pa.int64()), pa.array(packed, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], schema=_SETS)
+                        lists_out.append(own[chosen].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(docs["k1"]), pa.array(docs["k2"]), block.column("id").combine_chunks(), pa.array(size, pa.int64()), pa.array(packed, pa.binary()), pa.array(rooms, pa.int32()), pa.array(lists_out, pa.list_(pa.int64()))], schema=_SETS)
 
     return out
 
 
+def in_order(shared: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Shingles as numbers whose unsigned order is that of prefixes: low and not hot, low and hot, others; by hash in each."""
+    low = shared < LOW
+    at = np.minimum(np.searchsorted(hot, shared), max(0, len(hot) - 1))
+    late = low & (hot[at] == shared) if len(hot) else np.zeros(len(shared), bool)
+    return np.sort((shared >> K.U64(1)) | np.where(late, K.U64(1 << 62), K.U64(0)) | np.where(low, K.U64(0), K.U64(1 << 63)))
+
+
+def prefixes(hot, with_sets: bool):
+    """For sets: (k1, k2, n, prefix), with ``with_sets`` also the first of the prefix as ``token`` and the shingles."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+            lists = [in_order(np.array(x, np.int64).view(K.U64), hot.value)[:room].view(np.int64) for x, room in zip(column("shared").to_pylist(), column("room").to_pylist(), strict=True)]
+            made = {c: column(c) for c in ("k1", "k2", "n")} | {"prefix": pa.array(lists, pa.list_(pa.int64()))}
+            if with_sets:
+                made |= {"token": pa.array([x[0] for x in lists], pa.int64()), "shingles": column("shingles")}
+            yield pa.RecordBatch.from_pydict(made)
+
+    return out
+
+
+PREFIXES = "k1 bigint, k2 bigint, n bigint, prefix array<bigint>"
+
+
 class Forest:
     """Union-find over small integers."""
 
@@ -275,11 +307,13 @@ def plan_groups(percent: int):
         for g, part in R.dealt(a["g"]):
             _, one = np.unique(a["k1"][part] ^ K.mix(a["k2"][part].view(K.U64)).view(np.int64), return_index=True)
             part = part[one]
-            _, label = np.unique(np.stack([a["l1"][part], a["l2"][part]], 1), axis=0, return_inverse=True)
-            need = due(a["token"][part[:1]].view(K.U64)[0], label.ravel(), a["met"][part], a["n"][part], [values[ends[i] : ends[i + 1]] for i in part.tolist()])
-            for i in range(0, len(part), PIECE):
-                for j in range(i, len(part), PIECE):
-                    block = need[i : i + PIECE, j : j + PIECE]
+            _, label, times = np.unique(np.stack([a["l1"][part], a["l2"][part]], 1), axis=0, return_inverse=True, return_counts=True)
+            order = np.argsort(times[label.ravel()], kind="stable")  # documents of one large component side by side
+            part, label = part[order], label.ravel()[order]
+            need = due(a["token"][part[:1]].view(K.U64)[0], label, a["met"][part], a["n"][part], [values[ends[i] : ends[i + 1]] for i in part.tolist()])
+            for i in range(0, len(part), PLAN):
+                for j in range(i, len(part), PLAN):
+                    block = need[i : i + PLAN, j : j + PLAN]
                     if block.any():
                         chosen = np.union1d(i + np.flatnonzero(block.any(1)), j + np.flatnonzero(block.any(0)))
                         key = K.mix(np.array([g], np.int64).view(K.U64) + K.U64(1 + i * PLAN * 8 + j)).view(np.int64)
@@ -332,16 +366,22 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     vertex = F.struct("k1", "k2")
     labels = stored(able.select(vertex.alias("v"), vertex.alias("label")), "labels")
 
+    # The order of shingles: those that many have come late. Any choice of them is right, so the list may be cut.
+    counted = able.select(F.explode("shared").alias("token")).where(F.col("token").between(0, int(LOW) - 1)).groupBy("token").count()
+    late = counted.where(F.col("count") > HOT).orderBy(F.desc("count"), "token").limit(MOST)
+    hot = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r["token"] for r in late.collect()], np.int64).view(K.U64)))
+    narrow = stored(able.drop("shingles", "id").mapInArrow(prefixes(hot, False), PREFIXES), "prefixes")
+
     # The first shingle of each document. Large groups go in pieces.
-    token = F.element_at("prefix", 1)
-    large = stored(able.groupBy(token.alias("token")).count().where(F.col("count") > PIECE), "large-groups")
+    large = stored(narrow.groupBy(F.element_at("prefix", 1).alias("token")).count().where(F.col("count") > PIECE), "large-groups")
     large = F.broadcast(large) if large.count() <= 100_000 else large
     parts = F.coalesce(F.ceil(F.col("count") / PIECE), F.lit(1))
-    first = able.withColumn("token", token).join(large, "token", "left").select("k1", "k2", "n", "prefix", "shingles", F.xxhash64("token", F.pmod(F.xxhash64(vertex), parts)).alias("met"))
+    met = F.xxhash64("token", F.pmod(F.xxhash64(vertex), parts)).alias("met")
+    first = able.mapInArrow(prefixes(hot, True), PREFIXES + ", token bigint, shingles binary").join(large, "token", "left").select("k1", "k2", "shingles", met)
     labels = _relabelled(labels, _joined(first.select(F.col("met").alias("g"), vertex.alias("v"), vertex.alias("label"), "shingles"), None, percent, buckets))
 
     # One document of each component of several, by all its shingles.
-    members = able.select(vertex.alias("v"), F.explode("prefix").alias("token"))
+    members = narrow.select(vertex.alias("v"), F.explode("prefix").alias("token"))
     several = stored(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label"), "several")
     lead = members.join(labels.join(several, "label", "left_semi"), "v").groupBy("token", "label").agg(F.min("v").alias("v"))
     grouped = _groups(lead).withColumn("g", F.xxhash64("token", F.pmod(F.xxhash64("v"), F.ceil(F.col("size") / PIECE))))
@@ -350,8 +390,8 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     # All pairs that are left, planned; of very large groups by pairs of pieces.
     rest = _groups(members.join(labels, "v")).withColumn("pieces", F.ceil(F.col("size") / PLAN)).withColumn("own", F.pmod(F.xxhash64("v"), F.col("pieces")))
     pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))).withColumn("g", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-    narrow = first.select(vertex.alias("v"), "met", "n", "prefix")
-    wide = pairs.select("g", "token", "v", "label").join(narrow, "v").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("bucket"), "g", "token", "v.k1", "v.k2", F.col("label.k1").alias("l1"), F.col("label.k2").alias("l2"), "met", "n", "prefix")
+    known = narrow.withColumn("token", F.element_at("prefix", 1)).join(large, "token", "left").select(vertex.alias("v"), met, "n", "prefix")
+    wide = pairs.select("g", "token", "v", "label").join(known, "v").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("bucket"), "g", "token", "v.k1", "v.k2", F.col("label.k1").alias("l1"), F.col("label.k2").alias("l2"), "met", "n", "prefix")
     due = wide.groupBy("bucket").applyInArrow(plan_groups(percent), PLANNED)
     pair = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
     labels = _relabelled(labels, _joined(due.select("g", pair("k1", "k2").alias("v"), pair("l1", "l2").alias("label")), able, percent, buckets))
