@@ -319,6 +319,7 @@ def test_components(docs, plain_rows, width, percent):
 def test_components_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PIECE", 4)
     monkeypatch.setattr(jaccard, "PLAN", 8)
+    monkeypatch.setattr(jaccard, "HOT", 6)
     rng = random.Random(9)
     base = [f"w{rng.randrange(300)}" for _ in range(90)]
     rows = []
