@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import random
 import sys
 from pathlib import Path
 
@@ -8,33 +7,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from plain import corpus  # noqa: E402
+
 #: Names that operators use inside or give to results: columns of the input may have them too.
 CLASHES = "`k1` int, `mix` string, `Shard` string, slot int, `quality` double, `text2` string, `a.b` string, bucket int, n int, id string"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
 
 
-def corpus(seed=1, n=60, vocabulary=400):
-    rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdeéstz") for _ in range(rng.randint(1, 9)))
-    known = [word() for _ in range(vocabulary)]
-    line = lambda k: " ".join(rng.choice(known) for _ in range(k))
-    shared = [line(70), line(33), line(25)]
-    texts = [line(rng.randint(1, 200)) for _ in range(n)]
-    for i in range(0, n, 4):
-        w = texts[i].split()
-        w.insert(rng.randrange(len(w) + 1), rng.choice(shared))
-        texts[i] = " ".join(w)
-    texts += [texts[3]] * 5 + [texts[4].upper(), texts[5].replace(" ", "\n")]
-    near = line(150).split()
-    for _ in range(12):
-        w = list(near)
-        for _ in range(rng.randint(0, 4)):
-            w[rng.randrange(len(w))] = word()
-        texts.append(" ".join(w))
-    texts += [None, "", "   \n\t ", "one", "one", "two words", "a b c", "a  b\tc", "aaaa " * 300, "ab" * 900, "x" * 500, line(30000), shared[0], "𝒳 😀 " * 60, "zero\x00byte " * 40]
-    return texts
-
-
 @pytest.fixture(scope="session")
 def docs(spark):
     texts = corpus()

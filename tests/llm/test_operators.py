@@ -9,7 +9,7 @@ import numpy as np
 import plain
 import pyarrow as pa
 import pytest
-from conftest import corpus
+from plain import corpus
 from pyspark.sql import functions as F
 
 from tidewater.llm import components, decontam, jaccard, kernels, licences, mixing, pii, quality, sharding, substrings, suffixes, urls
