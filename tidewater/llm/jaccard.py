@@ -222,7 +222,8 @@ class Tree:
         n = len(self.levels[top][0])
         i, j = np.triu_indices(n, 0 if top else 1)
         for level in range(top, -1, -1):
-            ok = np.concatenate([self.may(level, i[k : k + 65536], j[k : k + 65536]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
+            some = max(64, (4 << 20) // self.levels[level][0][0].nbytes)  # pairs whose bitmaps take 4 MB
+            ok = np.concatenate([self.may(level, i[k : k + some], j[k : k + some]) for k in range(0, len(i), some)]) if len(i) else np.zeros(0, bool)
             i, j = i[ok], j[ok]
             if level:
                 n = len(self.levels[level - 1][0])
@@ -250,6 +251,7 @@ def join_groups(percent: int):
     """For rows (g, k1, k2, label, shingles) of some groups: LINKS between rows of different labels, enough to join what links join."""
 
     def run(table: pa.Table) -> pa.Table:
+        K.trim()
         g = table.column("g").to_numpy()
         k1, k2 = table.column("k1").to_numpy(), table.column("k2").to_numpy()
         l1, l2 = table.column("l1").to_numpy(), table.column("l2").to_numpy()
@@ -298,6 +300,7 @@ def plan_groups(percent: int):
         return need
 
     def run(table: pa.Table) -> pa.Table:
+        K.trim()
         names = ("g", "token", "k1", "k2", "l1", "l2", "met", "n")
         a = {c: table.column(c).to_numpy() for c in names}
         prefix = table.column("prefix").combine_chunks()

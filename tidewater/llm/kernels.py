@@ -7,6 +7,8 @@ rows a batch has; one document longer than that forms a slice of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers stay between tasks and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string array into (first row, end row, bytes, byte offsets from 0) of about ``limit`` bytes; null is empty."""
+    trim()
     if not len(texts):
         return
     texts = texts.cast(pa.large_string())
@@ -45,6 +55,7 @@ def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.n
         hi = min(hi, len(texts))
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    trim()
 
 
 def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

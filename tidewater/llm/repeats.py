@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import quoted
+from .kernels import trim
 
 BLOCK = 8 << 20
 U64 = np.uint64
@@ -187,6 +188,7 @@ def by_text(rows: DataFrame) -> DataFrame:
 
 
 def joined_tables(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes, int]]:
+    trim()
     return [unpack(x) for x in table.column("payload").to_pylist()]
 
 
