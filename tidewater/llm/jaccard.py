@@ -30,7 +30,7 @@ from . import kernels as K
 from . import repeats as R
 from .columns import fresh, of, quoted
 from .components import components
-from .store import stored
+from .store import release, stored
 
 #: Shingles whose hash lies in the lowest quarter are sent by all documents that have them.
 LOW = K.U64(1 << 62)
@@ -350,7 +350,8 @@ def _groups(members: DataFrame) -> DataFrame:
 
 
 def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, out: str = "similar") -> DataFrame:
-    """df with a struct column ``out``: n_shingles, component_id (the smallest integer id that links lead to, the own included).
+    """df with a struct column ``out``: n_shingles, component_id (the smallest integer id that links lead to, the own included), first (whether
+    it is the text of that id), k1 and k2 (the text's hashes).
 
     Two documents link when their sets of ``width``-word shingles (A-Z lower-cased) have a Jaccard index of ``percent`` / 100
     or more. No link between different texts is lost and none is added, but that hashes of 64 bits (48 within a pair)
@@ -365,6 +366,8 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     texts_ = R.distinct(df, id_column, text)
     shared = R.by_text(R.through_buckets(texts_, first_shingles(buckets, width, percent), R.anchored(1)))
     sets = stored(texts_.join(shared, ["k1", "k2"], "left").select("k1", "k2", "id", "text", "at").mapInArrow(sets_of(width, percent), SETS), "shingle-sets")
+    del texts_, shared
+    release(df)
     able = sets.where("shingles is not null")
     vertex = F.struct("k1", "k2")
     labels = stored(able.select(vertex.alias("v"), vertex.alias("label")), "labels")
@@ -383,6 +386,8 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     first = able.mapInArrow(prefixes(hot, True), PREFIXES + ", token bigint, shingles binary").join(large, "token", "left").select("k1", "k2", "shingles", met)
     labels = _relabelled(labels, _joined(first.select(F.col("met").alias("g"), vertex.alias("v"), vertex.alias("label"), "shingles"), None, percent, buckets))
 
+    release(df)
+
     # One document of each component of several, by all its shingles.
     members = narrow.select(vertex.alias("v"), F.explode("prefix").alias("token"))
     several = stored(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label"), "several")
@@ -400,15 +405,17 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     labels = _relabelled(labels, _joined(due.select("g", pair("k1", "k2").alias("v"), pair("l1", "l2").alias("label")), able, percent, buckets))
 
     judged = sets.select(vertex.alias("v"), "id", "n").join(labels, "v", "left").select("v", "id", "n", F.coalesce("label", "v").alias("label"))
-    least = stored(judged.groupBy("label").agg(F.min("id").alias("least")), "least-ids")
-    whole = judged.join(least, "label").select(F.col("v.k1").alias("k1"), F.col("v.k2").alias("k2"), "n", "least").alias("j")
+    least = stored(judged.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("least")), "least-ids")
+    whole = judged.join(least, "label").select(F.col("v.k1").alias("k1"), F.col("v.k2").alias("k2"), "n", F.col("least.id").alias("least"), (F.col("least.v") == F.col("v")).alias("first"))
+    whole = stored(whole, "components").alias("j")
+    release(df)
     had = [c for c in df.columns if c.lower() != out.lower()]
     k1, k2 = fresh(df, "_k1"), fresh(df, "_k2")
     body = F.coalesce(quoted(text), F.lit(""))
     rows = df.select(*[quoted(c) for c in had], F.xxhash64(body, F.lit(1)).alias(k1), F.xxhash64(F.lit(2), body).alias(k2)).alias("d")
     both = rows.join(whole, (of("d", k1) == F.col("j.k1")) & (of("d", k2) == F.col("j.k2")))
     component = F.when(F.col("j.n") > 0, F.col("j.least")).otherwise(of("d", id_column).cast("long"))
-    return both.select(*[of("d", c).alias(c) for c in had], F.struct(F.col("j.n").alias("n_shingles"), component.alias("component_id")).alias(out))
+    return both.select(*[of("d", c).alias(c) for c in had], F.struct(F.col("j.n").alias("n_shingles"), component.alias("component_id"), F.col("j.first").alias("first"), of("d", k1).alias("k1"), of("d", k2).alias("k2")).alias(out))
 
 
 def representatives(df: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -418,10 +425,11 @@ def representatives(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     name = fresh(df, "_similar")
     x, turn = F.col(name), fresh(df, "_turn")
-    kept = similar(df, id_column, text, out=name, **options).where((x["n_shingles"] == 0) | x["component_id"].eqNullSafe(quoted(id_column).cast("long")))
-    # What is left of a component are rows with one id: few, unless the table repeats itself.
-    again = W.partitionBy(x["component_id"], F.when(x["n_shingles"] == 0, F.xxhash64(*[quoted(c) for c in (id_column, text)]))).orderBy(F.xxhash64(quoted(text)))
-    return kept.withColumn(turn, F.row_number().over(again)).where((x["n_shingles"] == 0) | (F.col(turn) == 1)).select(*[quoted(c) for c in df.columns])
+    alone = x["n_shingles"] == 0
+    kept = similar(df, id_column, text, out=name, **options).where(alone | (x["first"] & x["component_id"].eqNullSafe(quoted(id_column).cast("long"))))
+    # What is left of a component are rows alike in id and text, which the join has brought together already.
+    again = W.partitionBy(x["k1"], x["k2"]).orderBy(quoted(id_column))
+    return kept.withColumn(turn, F.when(alone, 1).otherwise(F.row_number().over(again))).where(F.col(turn) == 1).select(*[quoted(c) for c in df.columns])
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

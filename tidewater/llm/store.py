@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,3 +22,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver has collected its garbage, which may take half an hour."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
