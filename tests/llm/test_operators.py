@@ -334,6 +334,20 @@ def test_components_in_pieces(spark, monkeypatch):
     assert got == plain.components(rows, 3, 82)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_prefixes_of_low_and_high_shingles(spark, width, percent):
+    """Short near copies, of which one lacks shingles that the others share: no link is lost where low and high shingles have the same documents."""
+    rng = random.Random(width)
+    texts = []
+    for group in range(250):
+        words = [f"g{group}x{i}" for i in range(rng.randint(18, 45))]
+        texts += [" ".join(words[a : len(words) - b]) for a, b in ((0, 0), (0, rng.randint(0, 3)), (rng.randint(1, 3), 0), (rng.randint(0, 2), rng.randint(0, 2)))]
+    want = plain.components(list(enumerate(texts)), width, percent)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in jaccard.similar(df, width=width, percent=percent).select("doc_id", "similar.n_shingles", "similar.component_id").collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_tree_finds_all_links(seed):
     rng = np.random.default_rng(seed)

@@ -343,9 +343,13 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """Of members (token, v, label): those of tokens with several labels, one token for each set of vertices; with the group's size."""
+    """Of members (token, v, label): those of tokens with several labels, one token for each set of vertices; with the group's size.
+
+    The token that stays is the first in the order of prefixes, which is unsigned: pairs are due in the first group that both are in.
+    """
+    flipped = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))
     whole = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("m"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "v")).alias("y"))
-    kept = whole.where("l != m").groupBy("size", "x", "y").agg(F.min("token").alias("token"))
+    kept = whole.where("l != m").groupBy("size", "x", "y").agg(F.min(flipped).alias("token")).withColumn("token", flipped)
     return members.join(kept.select("token", "size"), "token")
 
 
