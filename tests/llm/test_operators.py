@@ -114,6 +114,30 @@ def test_url_model_is_a_distribution(spark):
             assert llr == pytest.approx(np.log(p(True, gram) / p(False, gram)))
 
 
+def test_url_models_keep_rare_grams(spark, monkeypatch):
+    """However large the table is, no gram goes; and values are the same by broadcast and by shuffle."""
+    seen = [("common", 10_000_000, True), ("commons/x", 7, False), ("rare", 1, False)]
+    model = urls.fit(spark.createDataFrame(seen, "u string, n long, accepted boolean")).cache()
+    table = {(r["kind"], r["gram"]): r["llr"] for r in model.collect()}
+    grams = {p[i - k : i + 1] for p in (urls.START * urls.ORDER + u + urls.END for u, _, _ in seen) for i in range(urls.ORDER, len(p)) for k in range(urls.ORDER + 1)}
+    assert {g for kind, g in table if kind == "g"} == grams
+
+    def value(gram):
+        if not gram:
+            return 0.0
+        return table[("g", gram)] if ("g", gram) in table else table.get(("c", gram[:-1]), 0.0) * (len(gram) > 1) + value(gram[1:])
+
+    asked = ["rare", "common", "rares", "", "\u00e9 cora/", "m" * 300]
+    want = {}
+    for u in asked:
+        p = urls.START * urls.ORDER + u + urls.END
+        want[u] = sum(value(p[i - urls.ORDER : i + 1]) for i in range(urls.ORDER, len(p))) / (len(u) + 1)
+    df = spark.createDataFrame([(u,) for u in asked], "u string")
+    for share in (1 / 50_000, 0.02, 2.0):
+        monkeypatch.setattr(urls, "HOT", share)
+        assert dict(urls.score(df, model).collect()) == pytest.approx(want, abs=1e-9)
+
+
 def test_urls_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, url_filter int")
     assert urls.url_filter(none, urls.RULES).count() == 0

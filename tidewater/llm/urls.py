@@ -3,8 +3,8 @@
 Two variable-order Markov models, of accepted and of rejected URLs, give each character of a URL a
 log-likelihood difference; its mean over the URL is compared with a limit that is calibrated on labelled
 URLs the models haven't seen. A character is looked up behind its longest known context; each order is
-smoothed by the one below it. Contexts are kept by their share of all positions, so the table has a
-bounded size however large the corpus of URLs is.
+smoothed by the one below it. Every gram that occurs is kept, so the table grows with the corpus of URLs: it is
+shuffled, and only the values of grams that fill many positions are broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .columns import fresh, of, quoted
 from .store import stored
 
 ORDER = 3
-#: A gram is kept if it fills this share of all positions, so there are at most 1 / SHARE of each order.
-SHARE = 1 / 50_000
+#: A gram that fills this share of all positions or more gets its value by broadcast, the others by shuffle; at most 1 / HOT are broadcast.
+HOT = 1 / 50_000
 #: Weight of the next lower order, and the uniform base of the lowest.
 WEIGHT, BASE = 4.0, 1 / 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,15 +87,13 @@ def fit(labelled: DataFrame) -> DataFrame:
     """Rows (kind, gram, llr) of the two models from rows (u, n, accepted): n copies of text u.
 
     kind g: log-likelihood difference of a gram's last character behind the rest; kind c: what a context adds when the
-    next character isn't known behind it and the lower order is asked. Counts cover all rows; grams below SHARE of all
-    positions go, and since a gram's end is as frequent as the gram, every gram left has its lower orders.
+    next character isn't known behind it and the lower order is asked. All grams of all rows count and stay.
     """
     grams = _positions(labelled).select("n", "accepted", F.explode(F.array(*[F.col(f"g{k}") for k in range(ORDER + 1)])).alias("gram"))
     counts = stored(grams.groupBy("gram").agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("r")), "url-grams")
     order = F.length("gram") - 1
-    total = counts.where(order == 0).agg(F.coalesce(F.sum(F.col("a") + F.col("r")), F.lit(0)).alias("n")).first()["n"]
     behind = counts.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), order.alias("k")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
-    kept = counts.where(F.col("a") + F.col("r") >= SHARE * total).withColumn("k", order).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
+    kept = counts.withColumn("k", order).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
     known = stored(kept.join(behind, ["context", "k"]), "url-known")
     smooth = lambda n, of_, below: (F.col(n) + F.lit(WEIGHT) * below) / (F.col(of_) + F.lit(WEIGHT))
     level = known.where("k = 0").select("gram", smooth("a", "ca", F.lit(BASE)).alias("pa"), smooth("r", "cr", F.lit(BASE)).alias("pr"))
@@ -112,19 +110,38 @@ def fit(labelled: DataFrame) -> DataFrame:
     return table.select(F.lit("g").alias("kind"), "gram", F.ln(F.col("pa") / F.col("pr")).alias("llr")).unionByName(ends.select(F.lit("c").alias("kind"), F.col("context").alias("gram"), F.ln((F.col("cr") + WEIGHT) / (F.col("ca") + WEIGHT)).alias("llr")))
 
 
-def score(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """urls, rows with distinct ``u``, with the mean ``score`` of their characters. The model has at most 2 * (ORDER + 1) / SHARE short rows and is broadcast."""
-    at = _positions(urls.select("u"))
+def _values(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(gram, value) of longest grams, each once: what a position with it adds. Of grams that share an end or a context there are as many as characters."""
+    below = None
     for k in range(ORDER + 1):
-        part = model.where((F.col("kind") == "g") & (F.length("gram") == k + 1)).select(F.col("gram").alias(f"g{k}"), F.col("llr").alias(f"s{k}"))
-        at = at.join(F.broadcast(part), f"g{k}", "left")
+        known = model.where((F.col("kind") == "g") & (F.length("gram") == k + 1)).select("gram", F.col("llr").alias("s"))
+        at = grams.select(F.expr(f"substring(gram, {-k - 1}, {k + 1})").alias("gram")).distinct().join(known, "gram", "left")
+        value = F.lit(0.0)
         if k:
-            part = model.where((F.col("kind") == "c") & (F.length("gram") == k)).select(F.col("gram").alias(f"c{k}"), F.col("llr").alias(f"e{k}"))
-            at = at.withColumn(f"c{k}", F.expr(f"substring(g{k}, 1, {k})")).join(F.broadcast(part), f"c{k}", "left")
-    value = F.coalesce(F.col("s0"), F.lit(0.0))
-    for k in range(1, ORDER + 1):
-        value = F.coalesce(F.col(f"s{k}"), F.coalesce(F.col(f"e{k}"), F.lit(0.0)) + value)
-    return at.groupBy("u").agg(F.avg(value).alias("score"))
+            ends = model.where((F.col("kind") == "c") & (F.length("gram") == k)).select(F.col("gram").alias("context"), F.col("llr").alias("e"))
+            at = at.withColumn("context", F.expr(f"substring(gram, 1, {k})")).withColumn("end", F.expr("substring(gram, 2)")).join(ends, "context", "left").join(below, "end")
+            value = F.coalesce(F.col("e"), F.lit(0.0)) + F.col("v")
+        at = at.select("gram", F.coalesce(F.col("s"), value).alias("value"))
+        below = at.select(F.col("gram").alias("end"), F.col("value").alias("v"))
+    return at
+
+
+def score(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """urls, rows with distinct ``u``, with the mean ``score`` of their characters.
+
+    The value of a position is its longest gram's, so values are made once for each gram. Those of grams above HOT are broadcast,
+    the other positions are shuffled to theirs: none of these grams has many. Sums are exact to 12 places, in whatever order.
+    """
+    keys = (F.xxhash64("u", F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), "u").alias("k2"))
+    at = _positions(urls.select("u")).select(*keys, F.col(f"g{ORDER}").alias("gram"))
+    grams = stored(at.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "url-asked")
+    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    values = stored(_values(grams, model).join(grams, "gram").select("gram", F.round("value", 12).cast("decimal(18,12)").alias("value"), (F.col("n") >= HOT * total).alias("hot")), "url-values")
+    first = at.join(F.broadcast(values.where("hot").select("gram", "value")), "gram", "left")
+    summed = lambda x: x.groupBy("k1", "k2").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    cold = first.where("value is null").drop("value").join(values.where("not hot").select("gram", "value"), "gram")
+    both = summed(first.where("value is not null")).unionByName(summed(cold)).groupBy("k1", "k2").agg((F.sum("value").cast("double") / F.sum("n")).alias("score"))
+    return urls.select("u", *keys).join(both, ["k1", "k2"]).select("u", "score")
 
 
 def calibrated(scored: DataFrame) -> float:
