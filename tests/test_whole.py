@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from tidewater.plans import catalog
 
 
@@ -21,3 +23,9 @@ def test_probe_places_of_all_documents(spark, tmp_path):
     spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: list(r["slots"]) for r in query("bloom_probe_places", spark, tmp_path).collect()}
     assert got == {i: python_slots(str(i), 9600, 7) for i in ids}
+
+
+def test_shuffle_keeps_all_customers(spark, tmp_path):
+    spark.range(300).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = [(r["coin"], r["c_custkey"]) for r in query("coin_shuffle", spark, tmp_path).collect()]
+    assert got == sorted((int(hashlib.md5(f"shuffle|{i}".encode()).hexdigest()[:8], 16) / 2**32, i) for i in range(300))

@@ -191,5 +191,5 @@ def season_board(spark, d):
 
 @BOOK.add(f"SELECT c_custkey, {sql_coin('shuffle', 'c_custkey')} AS coin FROM customer ORDER BY coin, c_custkey LIMIT 25")
 def coin_shuffle(spark, d):
-    """A reproducible random order: by coin."""
-    return table(spark, d, "customer", "c_custkey").select("c_custkey", coin("shuffle", F.col("c_custkey")).alias("coin")).orderBy("coin", "c_custkey").limit(25)
+    """All customers in a reproducible random order: by coin."""
+    return table(spark, d, "customer", "c_custkey").select("c_custkey", coin("shuffle", F.col("c_custkey")).alias("coin")).orderBy("coin", "c_custkey")
