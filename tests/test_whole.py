@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from datetime import datetime, timedelta
 
 from tidewater.plans import catalog
 
@@ -29,3 +30,11 @@ def test_shuffle_keeps_all_customers(spark, tmp_path):
     spark.range(300).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     got = [(r["coin"], r["c_custkey"]) for r in query("coin_shuffle", spark, tmp_path).collect()]
     assert got == sorted((int(hashlib.md5(f"shuffle|{i}".encode()).hexdigest()[:8], 16) / 2**32, i) for i in range(300))
+
+
+def test_dedup_of_many_files_out_of_order(spark, tmp_path):
+    """Twenty files, read in three batches, the latest first: no event is dropped as late."""
+    for f in range(20):
+        rows = [(f * 5 + i, "view" if i % 2 else "purchase", datetime(2024, 2, 1) - timedelta(days=f, minutes=i)) for i in range(5)] + [(0, "purchase", datetime(2024, 2, 1))]
+        spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert dict(query("stream_dedup", spark, tmp_path).collect()) == {"purchase": 60, "view": 40}

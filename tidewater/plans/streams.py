@@ -20,4 +20,4 @@ def stream_dedup(spark, d):
     """Every event is delivered twice and counted once."""
     stream = S.event_stream(spark, f"{d}/events.parquet")
     twice = stream.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
-    return S.drained(S.once(twice).select("event_id", "event_type"), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    return S.drained(S.once(twice, late=None).select("event_id", "event_type"), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))

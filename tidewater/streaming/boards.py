@@ -21,8 +21,13 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> Da
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def once(stream: DataFrame, event_id: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Each event once, if its retries come within ``late``; the state is dropped with the watermark."""
+def once(stream: DataFrame, event_id: str = "event_id", ts: str = "ts", late: str | None = "1 hour") -> DataFrame:
+    """Each event once, if its retries come within ``late``; the state is dropped with the watermark, and so are events older than it.
+
+    With ``late`` None nothing is too late, in whatever order events come: the state keeps every event_id, as draining a whole table needs.
+    """
+    if late is None:
+        return stream.dropDuplicates([event_id])
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([event_id])
 
 
