@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from datetime import datetime, timedelta
 
+from tidewater.operators import hotkeys
 from tidewater.plans import catalog
 
 
@@ -38,3 +40,14 @@ def test_dedup_of_many_files_out_of_order(spark, tmp_path):
         rows = [(f * 5 + i, "view" if i % 2 else "purchase", datetime(2024, 2, 1) - timedelta(days=f, minutes=i)) for i in range(5)] + [(0, "purchase", datetime(2024, 2, 1))]
         spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     assert dict(query("stream_dedup", spark, tmp_path).collect()) == {"purchase": 60, "view": 40}
+
+
+def test_approximate_hitters_are_near(spark, tmp_path):
+    """Keys and counts within the sketch's error: 3.5 / tracked of all requests; exact where all keys are tracked."""
+    keys = [k for k in range(600) for _ in range(3 + 4000 // (k + 1))]
+    spark.createDataFrame([(k,) for k in keys], "l_partkey long").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    exact = Counter(keys)
+    got = [tuple(r) for r in query("heavy_hitters_approx", spark, tmp_path).select("l_partkey", "requests").collect()]
+    assert len(got) == 20 and all(exact[k] == n for k, n in got) and {k for k, _ in got} == {k for k, _ in exact.most_common(20)}
+    rough = hotkeys.heavy_hitters_approx(spark.read.parquet(str(tmp_path / "lineitem.parquet")), "l_partkey", 5, tracked=200).collect()
+    assert len(rough) == 5 and all(abs(r["requests"] - exact[r["l_partkey"]]) <= 3.5 / 200 * len(keys) for r in rough)
