@@ -8,6 +8,7 @@ length. Beside the bands stand a few plain counts of words, symbols and repeated
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,8 +42,9 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words, max_repeat_percent: the plain rules. chunk: bytes of a chunk, of which the last may be shorter and then
-    isn't judged; low, high: a chunk's band; max_odd_percent: of chunks outside it. level: of zstandard."""
+    """min_words, max_repeat_percent: the plain rules. chunk: bytes of a chunk; low, high: a whole chunk's band. The rest of a
+    text behind its whole chunks is a chunk too, judged by the band of its length, ``slack`` wider on both sides (as low
+    and high are wider than the band of their length). max_odd_percent: of chunks outside. level: of zstandard."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -50,6 +52,7 @@ class Rules:
     chunk: int = 4096
     low: float = 0.30
     high: float = 0.66
+    slack: float = 0.25
     max_odd_percent: int = 34
     level: int = 3
 
@@ -74,9 +77,14 @@ def judge(texts: pa.Array, rules: Rules = Rules()) -> pa.Array:
             if not text:
                 continue
             ratio[i] = len(squeeze(text)) / len(text)
-            for at in range(0, len(text) - rules.chunk + 1, rules.chunk):
+            for at in range(0, len(text), rules.chunk):
+                piece = text[at : at + rules.chunk]
+                low, high = rules.low, rules.high
+                if len(piece) < rules.chunk:
+                    _, low, high = rules.bands[bisect_right(rules.bands, len(piece), key=lambda b: b[0]) - 1]
+                    low, high = low * (1 - rules.slack), high * (1 + rules.slack)
                 chunks[i] += 1
-                odd[i] += not rules.low <= len(squeeze(text[at : at + rules.chunk])) / rules.chunk <= rules.high
+                odd[i] += not low <= (len(squeeze(piece)) / len(piece) if len(piece) < len(text) else ratio[i]) <= high
             lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\v\f\r")]
             again[i] = len(lines) - len(set(lines))
         failed = (per < rules.min_words) | (100 * repeated > rules.max_repeat_percent * per)
@@ -112,7 +120,11 @@ def quality(df: DataFrame, text: str = "text", out: str = "quality", rules: Rule
 
 
 def keep(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows of df that the rules keep, columns as they were."""
+    """The rows of df that the rules keep, columns as they were.
+
+    Null, empty and short texts go, as base rules reject them; repeated rows share their fate; an empty table gives an
+    empty one. A very long text is one Arrow value in its worker, as quality() reads it whole.
+    """
     judged = quality(df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), quoted(text).alias("text")), "text", "quality", rules)
     return judged.where("quality.kept").select("row.*")
 
