@@ -1,6 +1,6 @@
 """Public licence texts and the short lines by which works name their licence.
 
-Longer licences are known by passing further texts to the operator.
+Long licences are known by the digest of their canonical text.
 """
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
@@ -63,11 +63,48 @@ TEXTS = {
     "Unlicense": _UNLICENSE,
     "Zlib": _ZLIB,
 }
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
+#: Names by which a line may call a licence.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "GPL-2.0": ("GNU General Public License v2.0", "GNU General Public License, version 2"),
+    "GPL-3.0": ("GNU General Public License v3.0", "GNU General Public License, version 3"),
+    "ISC": ("ISC License",),
+    "LGPL-3.0": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+}
+#: Ways in which a line may say so.
+FORMS = (
+    "Licensed under the {}.",
+    "Licensed under {}.",
+    "Released under the {}.",
+    "Distributed under the {}.",
+    "This work is licensed under the {}.",
+    "This work is licensed under a {}.",
+    "This project is licensed under the {}.",
+    "This software is released under the {}.",
+)
+NOTICES = {k: (f"SPDX-License-Identifier: {k}", f"License: {k}", *(form.format(name) for name in names for form in FORMS)) for k, names in NAMES.items()}
+#: SHA-256 of the canonical form (licences.canonical) of long licences, as published with their headings.
+DIGESTS = {
+    "Apache-2.0": "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0",
+    "Artistic-1.0": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "BSD-3-Clause of the Regents": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2": "3d3acd6d1c9a511d832bb394257b1f166254fdc645d49cf238b7590fcee05fb0",
+    "GFDL-1.3": "5c8c9ea723b76a1e85fde99662ee80d9737da6574292b3b8c9f21e5d9513ffbc",
+    "GPL-1.0": "b0b451371aa8b1fca2656e1c4adfd20298318818523446f7571338a5b932e23f",
+    "GPL-2.0": "c683128a79af968653f7a06709159e41adcfcb00ca1e8ab9ffa1d516dcf82123",
+    "GPL-3.0": "ab0ff01b5102d67da216e91690a50504aebf46513a85db94155933b2db63283f",
+    "LGPL-2.0": "b64047590f42a52d46a8a93fad9485df2e189694e4b51288546e57ce10e59769",
+    "LGPL-2.1": "bc7898eef7d53923eff574c7a898468049b8e1e90eef19ba0b8132904dd70a66",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "312d60d6637eaa5485742576ef2bf899e0513899a4e98cc9a1a6c688423c3ca6",
+    "MPL-2.0": "ab44c1812d8dc8d4c1451f57056dbd7dd63297e1adc32e23daadafd325c283da",
 }

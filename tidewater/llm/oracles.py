@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licence_texts import NOTICES, TEXTS
+from .licence_texts import DIGESTS, NOTICES, TEXTS
 from .licences import OWNER, SPELLINGS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,9 +57,11 @@ def _canonical(text: str) -> str:
 
 
 def licences() -> str:
-    table = lambda texts: " UNION ALL ".join(f"SELECT {_quoted(k)} AS licence, {_canonical(_quoted(v))} AS digest" for k, v in texts.items())
+    values = lambda rows: "VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in rows)
+    lines = [(k, v) for k, of_ in NOTICES.items() for v in of_]
     return f"""
-WITH known AS (SELECT min(licence) AS licence, digest FROM ({table(TEXTS)}) GROUP BY digest), named AS ({table(NOTICES)}),
+WITH known AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, {_canonical("t")} AS digest FROM ({values(TEXTS.items())}) AS _(licence, t) UNION ALL {values(DIGESTS.items())}) GROUP BY digest),
+named AS (SELECT DISTINCT licence, {_canonical("t")} AS digest FROM ({values(lines)}) AS _(licence, t)),
 lines AS (SELECT DISTINCT doc_id, licence FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) JOIN named ON regexp_matches(line, '(?i)licen[cs]e') AND {_canonical("line")} = named.digest),
 d AS (SELECT doc_id, {_canonical("text")} AS digest FROM documents)
 SELECT d.doc_id, d.digest, known.licence, known.licence IS NOT NULL AS is_licence, coalesce((SELECT string_agg(licence, ',' ORDER BY licence) FROM lines WHERE lines.doc_id = d.doc_id), '') AS notices
