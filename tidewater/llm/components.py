@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import discard, stored
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (v, label) with labels merged along links (a, b) between labels. Keys may be of any type that can be ordered."""
+    """labels (v, label) with labels merged along links (a, b) between labels. If it is a stored table, it is removed when a new
+    one takes its place. Keys may be of any type that can be ordered."""
     edges = stored(links.where("a != b").distinct(), "links")
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -22,7 +23,11 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         least = stored(least, "pointers")
         onward = least.select(F.col("x").alias("p"), F.col("p").alias("q"))
         to = stored(least.join(onward, "p").select("x", F.col("q").alias("y")), "pointers")
-        labels = stored(labels.join(to, F.col("label") == F.col("x"), "left").select("v", F.coalesce("y", "label").alias("label")), "labels")
+        merged = labels.join(to, F.col("label") == F.col("x"), "left").select("v", F.coalesce("y", "label").alias("label"))
         one = edges.join(to, F.col("a") == F.col("x")).select(F.col("y").alias("a"), "b")
-        edges = stored(one.join(to, F.col("b") == F.col("x")).select("a", F.col("y").alias("b")).where("a != b").distinct(), "links")
+        left = one.join(to, F.col("b") == F.col("x")).select("a", F.col("y").alias("b")).where("a != b").distinct()
+        done = (labels, edges, least, to)
+        labels, edges = stored(merged, "labels"), stored(left, "links")
+        discard(*done)
+    discard(edges)
     return labels

@@ -24,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import kernels as K
 from . import repeats as R
-from .columns import fresh, of, quoted
+from .columns import of, quoted
 from .components import components
-from .store import release, stored
+from .hot import with_rows
+from .store import discard, release, stored
 
 #: Shingles whose hash lies in the lowest quarter are sent by all documents that have them.
 LOW = K.U64(1 << 62)
@@ -353,20 +353,11 @@ def _groups(members: DataFrame) -> DataFrame:
     return members.join(kept.select("token", "size"), "token")
 
 
-def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, out: str = "similar") -> DataFrame:
-    """df with a struct column ``out``: n_shingles, component_id (the smallest integer id that links lead to, the own included), first (whether
-    it is the text of that id), k1 and k2 (the text's hashes).
-
-    Two documents link when their sets of ``width``-word shingles (A-Z lower-cased) have a Jaccard index of ``percent`` / 100
-    or more. No link between different texts is lost and none is added, but that hashes of 64 bits (48 within a pair)
-    stand for shingles. Equal texts are one vertex. A text without words, or null, has no shingle and links with
-    nothing, not even its copies. Null ids: a component of them alone has component_id null. A column of df called ``out``
-    is replaced; an empty table gives an empty one.
-
-    Texts are shuffled once, for the distinct ones; after that a document is its shingles' hashes. Large groups are
-    joined in pieces of PIECE documents, and planned by pairs of pieces of PLAN, so no task holds a whole group.
-    """
-    buckets = R.bucket_count(df, text, 16 << 20, 64)
+def classes(df: DataFrame, id_column: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of the distinct texts of df: (v, id, n, label), and for each label (label, least) with its document of the smallest id as
+    least (none, id, v, n); and the rows of df. Both read stored tables."""
+    rows, size = R.extent(df, text)
+    buckets = R.bucket_count(size, 16 << 20, 64)
     texts_ = R.distinct(df, id_column, text)
     shared = R.by_text(R.through_buckets(texts_, first_shingles(buckets, width, percent), R.anchored(1)))
     sets = stored(texts_.join(shared, ["k1", "k2"], "left").select("k1", "k2", "id", "text", "at").mapInArrow(sets_of(width, percent), SETS), "shingle-sets")
@@ -383,8 +374,8 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     narrow = stored(able.drop("shingles", "id").mapInArrow(prefixes(hot, False), PREFIXES), "prefixes")
 
     # The first shingle of each document. Large groups go in pieces.
-    large = stored(narrow.groupBy(F.element_at("prefix", 1).alias("token")).count().where(F.col("count") > PIECE), "large-groups")
-    large = F.broadcast(large) if large.count() <= 100_000 else large
+    crowds = stored(narrow.groupBy(F.element_at("prefix", 1).alias("token")).count().where(F.col("count") > PIECE), "large-groups")
+    large = F.broadcast(crowds) if crowds.count() <= 100_000 else crowds
     parts = F.coalesce(F.ceil(F.col("count") / PIECE), F.lit(1))
     met = F.xxhash64("token", F.pmod(F.xxhash64(vertex), parts)).alias("met")
     first = able.mapInArrow(prefixes(hot, True), PREFIXES + ", token bigint, shingles binary").join(large, "token", "left").select("k1", "k2", "shingles", met)
@@ -408,32 +399,50 @@ def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     pair = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
     labels = _relabelled(labels, _joined(due.select("g", pair("k1", "k2").alias("v"), pair("l1", "l2").alias("label")), able, percent, buckets))
 
-    judged = sets.select(vertex.alias("v"), "id", "n").join(labels, "v", "left").select("v", "id", "n", F.coalesce("label", "v").alias("label"))
-    least = stored(judged.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("least")), "least-ids")
-    whole = judged.join(least, "label").select(F.col("v.k1").alias("k1"), F.col("v.k2").alias("k2"), "n", F.col("least.id").alias("least"), (F.col("least.v") == F.col("v")).alias("first"))
-    whole = stored(whole, "components").alias("j")
+    judged = stored(sets.select(vertex.alias("v"), "id", "n").join(labels, "v", "left").select("v", "id", "n", F.coalesce("label", "v").alias("label")), "classes")
+    least = stored(judged.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v", "n")).alias("least")), "least-ids")
+    discard(sets, labels, narrow, crowds, several)
     release(df)
-    had = [c for c in df.columns if c.lower() != out.lower()]
-    k1, k2 = fresh(df, "_k1"), fresh(df, "_k2")
-    body = F.coalesce(quoted(text), F.lit(""))
-    rows = df.select(*[quoted(c) for c in had], F.xxhash64(body, F.lit(1)).alias(k1), F.xxhash64(F.lit(2), body).alias(k2)).alias("d")
-    both = rows.join(whole, (of("d", k1) == F.col("j.k1")) & (of("d", k2) == F.col("j.k2")))
+    return judged, least, rows
+
+
+def similar(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, out: str = "similar") -> DataFrame:
+    """df with a struct column ``out``: n_shingles, component_id (the smallest integer id that links lead to, the own included), first (whether
+    it is the text of that id), k1 and k2 (the text's hashes).
+
+    Two documents link when their sets of ``width``-word shingles (A-Z lower-cased) have a Jaccard index of ``percent`` / 100
+    or more. No link between different texts is lost and none is added, but that hashes of 64 bits (48 within a pair)
+    stand for shingles. Equal texts are one vertex. A text without words, or null, has no shingle and links with
+    nothing, not even its copies. Null ids: a component of them alone has component_id null. A column of df called ``out``
+    is replaced; an empty table gives an empty one. A very long text is held whole by one worker, at some 25 bytes a byte.
+
+    Texts are shuffled once, for the distinct ones; after that a document is its shingles' hashes. Large groups are
+    joined in pieces of PIECE documents, and planned by pairs of pieces of PLAN, so no task holds a whole group.
+    """
+    judged, least, rows = classes(df, id_column, text, width, percent)
+    whole = judged.join(least, "label").select(F.col("v.k1").alias("k1"), F.col("v.k2").alias("k2"), "n", F.col("least.id").alias("least"), (F.col("least.v") == F.col("v")).alias("first"))
+    both = with_rows(df, text, out, whole, rows)
     component = F.when(F.col("j.n") > 0, F.col("j.least")).otherwise(of("d", id_column).cast("long"))
-    return both.select(*[of("d", c).alias(c) for c in had], F.struct(F.col("j.n").alias("n_shingles"), component.alias("component_id"), F.col("j.first").alias("first"), of("d", k1).alias("k1"), of("d", k2).alias("k2")).alias(out))
+    result = F.struct(F.col("j.n").alias("n_shingles"), component.alias("component_id"), F.col("j.first").alias("first"), F.col("j.k1").alias("k1"), F.col("j.k2").alias("k2"))
+    return both.select(*[of("d", c).alias(c) for c in df.columns if c.lower() != out.lower()], result.alias(out))
 
 
-def representatives(df: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component of similar(): that with the smallest id. Documents without words stay; columns as they were.
+def representatives(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component of similar(): that with the smallest id. Documents without words, null among them, stay;
+    columns as they were; an empty table gives an empty one.
 
-    Of rows alike in id and text one stays, documents without words aside.
+    Of rows alike in id and text one stays, documents without words aside. Which of them, where other columns differ, is not
+    defined. Rows are matched by id and text, after repeats of both are gone, so no text's copies meet in one task.
     """
-    name = fresh(df, "_similar")
-    x, turn = F.col(name), fresh(df, "_turn")
-    alone = x["n_shingles"] == 0
-    kept = similar(df, id_column, text, out=name, **options).where(alone | (x["first"] & x["component_id"].eqNullSafe(quoted(id_column).cast("long"))))
-    # What is left of a component are rows alike in id and text, which the join has brought together already.
-    again = W.partitionBy(x["k1"], x["k2"]).orderBy(quoted(id_column))
-    return kept.withColumn(turn, F.when(alone, 1).otherwise(F.row_number().over(again))).where(F.col(turn) == 1).select(*[quoted(c) for c in df.columns])
+    _, least, _ = classes(df, id_column, text, width, percent)
+    words = F.coalesce(quoted(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    body, row = quoted(text), F.struct(*[quoted(c) for c in df.columns]).alias("row")
+    rows = df.where(words).select(F.xxhash64(body, F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), body).alias("k2"), quoted(id_column).cast("long").alias("id"), row)
+    once = rows.groupBy("k1", "k2", "id").agg(F.first("row").alias("row")).alias("d")
+    first = least.where("least.n > 0").select("least.v.k1", "least.v.k2", "least.id").alias("f")
+    same = (F.col("d.k1") == F.col("f.k1")) & (F.col("d.k2") == F.col("f.k2")) & F.col("d.id").eqNullSafe(F.col("f.id"))
+    kept = once.join(first, same, "left_semi").select(*[F.col("row")[c].alias(c) for c in df.columns])
+    return kept.unionByName(df.where(~words))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

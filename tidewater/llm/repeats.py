@@ -204,7 +204,12 @@ def through_buckets(texts_: DataFrame, emit: Callable, reduce: Callable) -> Data
     return texts_.mapInArrow(out, MESSAGE).groupBy("bucket").applyInArrow(lambda t: reduce(joined_tables(t)), FOUND)
 
 
-def bucket_count(df: DataFrame, text: str, per_bucket: int, least: int = 64) -> int:
-    """Buckets for the input's bytes, so that each fits in a Python worker however large the input is."""
-    total = df.agg(F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0)).alias("n")).first()["n"]
-    return max(least, -(-int(total) // per_bucket))
+def extent(df: DataFrame, text: str) -> tuple[int, int]:
+    """(rows, bytes of text)."""
+    got = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0)).alias("bytes")).first()
+    return int(got["rows"]), int(got["bytes"])
+
+
+def bucket_count(size: int, per_bucket: int, least: int = 64) -> int:
+    """Buckets for so many bytes of input, so that each fits in a Python worker however large the input is."""
+    return max(least, -(-size // per_bucket))

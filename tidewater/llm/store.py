@@ -6,25 +6,44 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df computed once, written under spark.checkpoint.dir and read again: a later loss of executors costs nothing of it.
-
-    The setting is read from the session; only where it is unset, as in tests, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder takes its place in local mode, as in tests;
+    on a cluster that is an error, since executors share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df computed once, written under spark.checkpoint.dir and read again: a later loss of executors costs nothing of it."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._stored_at = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing will read again; other tables are left alone."""
+    for df in tables:
+        spark, path = df.sparkSession, df.__dict__.get("_stored_at")
+        if path is None:
+            continue
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver has collected its garbage, which may take half an hour."""
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver has collected its garbage, which may
+    take half an hour. Results do not depend on it, only how much disk is held meanwhile."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import repeats as R
-from .columns import fresh, of, quoted
+from .columns import of
+from .hot import with_rows
 
 WINDOW = 20
 RESULT = "k1 bigint, k2 bigint, id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept_sha256 string"
@@ -46,6 +47,14 @@ def _windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray,
     return doc[inside], inside - first[doc[inside]], K.rolling(h, width)[inside]
 
 
+def _wide(h: np.ndarray, first: np.ndarray, width: int, base: int) -> np.ndarray:
+    """32 further bits for each window of _windows."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    n = max(0, len(h) - width + 1)
+    inside = doc[:n] == doc[width - 1 : width - 1 + n]
+    return (K.rolling(K.mix(h + K.U64(base)), width, base)[inside] >> K.U64(32)).astype(np.uint32)
+
+
 def probes(buckets: int, length: int):
     def emit(block: pa.Table) -> list[tuple[int, bytes]]:
         parts = []
@@ -70,28 +79,38 @@ def _around(block: pa.Table, lo: int, first: np.ndarray, reach: tuple[int, int],
     return K.spans(np.maximum(base, base + hits - reach[0]), np.minimum(end, base + hits + reach[1]), n)
 
 
+#: A window in a message: 96 bits of its hash.
+PRINT = np.dtype([("f", "<u8"), ("w", "<u4")])
+
+
+def _sames(order: np.ndarray, fp: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Which windows, in an order that brings equal ones together, are like the one before."""
+    return np.concatenate([[False], (fp[order][1:] == fp[order][:-1]) & (wide[order][1:] == wide[order][:-1])])
+
+
 def candidates(buckets: int, window: int, length: int):
     def emit(block: pa.Table) -> list[tuple[int, bytes]]:
         docs, parts = R.docs_of(block), []
         for lo, h, first in _words(block):
             doc, at, fp = _windows(h, first, window)
             near = _around(block, lo, first, (window - length, 1), len(h))[first[doc] + at]
-            parts.append((doc[near] + lo, at[near], fp[near]))
-        doc, at, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append((doc[near] + lo, at[near], fp[near], _wide(h, first, window, K.BASE[1])[near]))
+        doc, at, fp, wide = (np.concatenate(x) for x in zip(*parts, strict=True))
         if not len(doc):
             return []
         rank = np.empty(len(docs), np.int64)
         rank[np.lexsort((docs["k2"], docs["k1"], docs["id"]))] = np.arange(len(docs))
-        order = np.lexsort((at, rank[doc], fp))
-        group, _ = R.groups(fp[order])
-        leader = np.zeros(len(fp), bool)
-        leader[order[np.flatnonzero(np.diff(group, prepend=-1))]] = True
-        rows, own, send = [], np.flatnonzero(~leader), np.flatnonzero(leader)
+        order = np.lexsort((at, rank[doc], wide, fp))
+        again = np.zeros(len(fp), bool)
+        again[order] = _sames(order, fp, wide)
+        rows, own, send = [], np.flatnonzero(again), np.flatnonzero(~again)
         if len(own):
             rows.append((int(fp[0] % K.U64(buckets)), R.pack(docs, doc[own], at[own], 1)))
+        prints = np.empty(len(fp), PRINT)
+        prints["f"], prints["w"] = fp, wide
         bucket = ((fp[send] >> K.U64(40)) % K.U64(buckets)).astype(np.int64)
         for b, part in R.dealt(bucket):
-            rows.append((b, R.pack(docs, doc[send[part]], at[send[part]], 0, fp[send[part]].tobytes(), 8)))
+            rows.append((b, R.pack(docs, doc[send[part]], at[send[part]], 0, prints[send[part]].tobytes(), PRINT.itemsize)))
         return rows
 
     return emit
@@ -99,7 +118,7 @@ def candidates(buckets: int, window: int, length: int):
 
 def later(parts: list) -> pa.Table:
     """The windows of a bucket that start earlier elsewhere."""
-    docs, doc, at, fp, own, have = [], [], [], [], [], 0
+    docs, doc, at, prints, own, have = [], [], [], [], [], 0
     for kind, d, i, a, more, _ in parts:
         docs.append(d)
         if kind:
@@ -107,15 +126,15 @@ def later(parts: list) -> pa.Table:
         else:
             doc.append(i + have)
             at.append(a)
-            fp.append(np.frombuffer(more, "<u8"))
+            prints.append(np.frombuffer(more, PRINT))
         have += len(d)
     docs = np.concatenate(docs)
     out_doc, out_at = [x[0] for x in own], [x[1] for x in own]
-    if fp:
-        doc, at, fp = np.concatenate(doc), np.concatenate(at), np.concatenate(fp)
-        order = np.lexsort((at, docs["k2"][doc], docs["k1"][doc], docs["id"][doc], fp))
-        group, _ = R.groups(fp[order])
-        rest = order[np.diff(group, prepend=-1) == 0]
+    if prints:
+        doc, at, both = np.concatenate(doc), np.concatenate(at), np.concatenate(prints)
+        fp, wide = both["f"], both["w"]
+        order = np.lexsort((at, docs["k2"][doc], docs["k1"][doc], docs["id"][doc], wide, fp))
+        rest = order[_sames(order, fp, wide)]
         out_doc.append(doc[rest])
         out_at.append(at[rest])
     none = np.zeros(0, np.int64)
@@ -148,23 +167,22 @@ def repeated_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     A word is removed if a window of ``window`` words over it also starts earlier: in a document with a smaller integer
     id, or before in the same one. Null ids come last; different texts with equal ids are ordered by their hashes; rows
     alike in id and text are one document and judged alike. Null text has no words. Texts shorter than a window keep all.
-    Windows are compared by 64-bit hashes of word hashes. A column of df called ``out`` is replaced.
+    Windows are compared by 96 bits of hashes of word hashes: among 1e13 windows that is one chance in a thousand of a
+    single false repeat. An empty table gives an empty one. A very long text is held whole by one worker, at some 100 bytes
+    a byte. A column of df called ``out`` is replaced.
 
     Copies of a text are judged once: all but the first lose every word. Only hashes and places are shuffled, besides
     each distinct text once; see repeats.py for how hot windows are kept small.
     """
     length = block_length(window)
-    buckets = R.bucket_count(df, text, 12 << 20)
+    rows, size = R.extent(df, text)
+    buckets = R.bucket_count(size, 12 << 20)
     texts_ = R.distinct(df, id_column, text)
     hits = R.by_text(R.through_buckets(texts_, probes(buckets, length), R.anchored(length)))
     near = texts_.join(hits, ["k1", "k2"])
     windows = R.by_text(R.through_buckets(near, candidates(buckets, window, length), later))
-    judged = texts_.join(windows, ["k1", "k2"], "left").mapInArrow(_removed(window), RESULT).alias("j")
-    had = [c for c in df.columns if c.lower() != out.lower()]
-    k1, k2 = fresh(df, "_k1"), fresh(df, "_k2")
-    body = F.coalesce(quoted(text), F.lit(""))
-    rows = df.select(*[quoted(c) for c in had], F.xxhash64(body, F.lit(1)).alias(k1), F.xxhash64(F.lit(2), body).alias(k2)).alias("d")
-    both = rows.join(judged, (of("d", k1) == F.col("j.k1")) & (of("d", k2) == F.col("j.k2")))
+    judged = texts_.join(windows, ["k1", "k2"], "left").mapInArrow(_removed(window), RESULT)
+    both = with_rows(df, text, out, judged, rows)
     copy = ~of("d", id_column).cast("long").eqNullSafe(F.col("j.id")) & (F.col("j.n_words") >= window)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("j.n_words").cast("int").alias("end")))
     result = F.struct(
@@ -173,7 +191,7 @@ def repeated_words(df: DataFrame, id_column: str = "doc_id", text: str = "text",
         F.when(copy, whole).otherwise(F.col("j.removed")).alias("removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("j.kept_sha256")).alias("kept_sha256"),
     )
-    return both.select(*[of("d", c).alias(c) for c in had], result.alias(out))
+    return both.select(*[of("d", c).alias(c) for c in df.columns if c.lower() != out.lower()], result.alias(out))
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import repeats as R
-from .columns import fresh, of, quoted
+from .columns import of
+from .hot import with_rows
 
 LENGTH = 200
 RESULT = "k1 bigint, k2 bigint, n_bytes bigint, removed array<struct<start:int,end:int>>, n_removed bigint, kept_sha256 string"
@@ -260,19 +261,16 @@ def repeated_bytes(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     Anchors' hashes (64 bits) only choose what is compared; the comparison is of bytes. Each distinct text is shuffled
     once, besides anchors' places and the segments of anchors that come more than once.
     """
-    buckets = R.bucket_count(df, text, 4 << 20, 128)
+    rows, size = R.extent(df, text)
+    buckets = R.bucket_count(size, 4 << 20, 128)
     texts_ = R.distinct(df, id_column, text)
     hits = R.by_text(R.through_buckets(texts_, anchor_places(buckets, length), R.anchored(1)))
     near = texts_.join(hits, ["k1", "k2"])
     runs = R.by_text(R.through_buckets(near, segments_of(buckets, length), expanded(length)))
-    judged = texts_.join(runs, ["k1", "k2"], "left").mapInArrow(_removed(length), RESULT).alias("j")
-    had = [c for c in df.columns if c.lower() != out.lower()]
-    k1, k2 = fresh(df, "_k1"), fresh(df, "_k2")
-    body = F.coalesce(quoted(text), F.lit(""))
-    rows = df.select(*[quoted(c) for c in had], F.xxhash64(body, F.lit(1)).alias(k1), F.xxhash64(F.lit(2), body).alias(k2)).alias("d")
-    both = rows.join(judged, (of("d", k1) == F.col("j.k1")) & (of("d", k2) == F.col("j.k2")))
+    judged = texts_.join(runs, ["k1", "k2"], "left").mapInArrow(_removed(length), RESULT)
+    both = with_rows(df, text, out, judged, rows)
     result = F.struct(*[F.col(f"j.{c}").alias(c) for c in ("n_bytes", "removed", "n_removed", "kept_sha256")])
-    return both.select(*[of("d", c).alias(c) for c in had], result.alias(out))
+    return both.select(*[of("d", c).alias(c) for c in df.columns if c.lower() != out.lower()], result.alias(out))
 
 
 def op3_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .columns import fresh, of, quoted
+from .hot import with_rows
 from .store import stored
 
 ORDER = 3
@@ -76,6 +77,16 @@ def _seen(url: Column) -> Column:
     return F.translate(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)\A.*?://", ""), UPPER, LOWER)
 
 
+#: Characters of URLs that a task takes: it makes a row of each.
+CHARACTERS = 1 << 20
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df, rows with ``u``, over as many tasks as its characters need: bytes, by which Spark would choose, say little of the rows that they become."""
+    total = df.agg(F.coalesce(F.sum(F.length("u") + 1), F.lit(0)).alias("n")).first()["n"]
+    return df.repartition(max(1, -(-int(total) // CHARACTERS)), "u")
+
+
 def _positions(df: DataFrame) -> DataFrame:
     """A row for each character of ``u`` and its end mark, with grams g0, g1, ...: it with so many characters before it."""
     padded = F.concat(F.lit(START * ORDER), F.col("u"), F.lit(END))
@@ -89,7 +100,7 @@ def fit(labelled: DataFrame) -> DataFrame:
     kind g: log-likelihood difference of a gram's last character behind the rest; kind c: what a context adds when the
     next character isn't known behind it and the lower order is asked. All grams of all rows count and stay.
     """
-    grams = _positions(labelled).select("n", "accepted", F.explode(F.array(*[F.col(f"g{k}") for k in range(ORDER + 1)])).alias("gram"))
+    grams = _positions(_spread(labelled)).select("n", "accepted", F.explode(F.array(*[F.col(f"g{k}") for k in range(ORDER + 1)])).alias("gram"))
     counts = stored(grams.groupBy("gram").agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("r")), "url-grams")
     order = F.length("gram") - 1
     behind = counts.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), order.alias("k")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
@@ -133,7 +144,7 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     the other positions are shuffled to theirs: none of these grams has many. Sums are exact to 12 places, in whatever order.
     """
     keys = (F.xxhash64("u", F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), "u").alias("k2"))
-    at = _positions(urls.select("u")).select(*keys, F.col(f"g{ORDER}").alias("gram"))
+    at = _positions(_spread(urls.select("u"))).select(*keys, F.col(f"g{ORDER}").alias("gram"))
     grams = stored(at.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "url-asked")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     values = stored(_values(grams, model).join(grams, "gram").select("gram", F.round("value", 12).cast("decimal(18,12)").alias("value"), (F.col("n") >= HOT * total).alias("hot")), "url-values")
@@ -159,28 +170,57 @@ def calibrated(scored: DataFrame) -> float:
     return best[0]["limit"] if best else 0.0
 
 
+def _labelled(df: DataFrame, known: Sequence[Rule], url: str) -> DataFrame:
+    """(u, accepted, n): the distinct texts that the models read, what rules say of them (null: nothing), and how often they come."""
+    u = quoted(url)
+    texts = df.select(_seen(u).alias("u"), ruled(host(u), path(u), known)["allow"].alias("accepted"))
+    return stored(texts.groupBy("u", "accepted").agg(F.count(F.lit(1)).alias("n")), "urls")
+
+
+def _fold(part: int, of_: int) -> Column:
+    return F.pmod(F.xxhash64("u"), F.lit(of_)) == part
+
+
+def held_out(df: DataFrame, known: Sequence[Rule], url: str = "url", folds: int = 10) -> dict[str, float]:
+    """How well the models tell labelled URLs that took no part in fit or limit: share of accepted ones allowed, of rejected ones
+    blocked, and the mean of both (``balanced``). One fold of ``folds`` (by hash) sets the limit, another is judged."""
+    labelled = _labelled(df, known, url).where("accepted is not null")
+    model = stored(fit(labelled.where(~_fold(0, folds) & ~_fold(1, folds))), "url-model")
+    limit = calibrated(score((test := labelled.where(_fold(0, folds))).select("u").distinct(), model).join(test, "u"))
+    judged = score((rest := labelled.where(_fold(1, folds))).select("u").distinct(), model).join(rest, "u")
+    right = (F.col("score") >= limit) == F.col("accepted")
+    share = lambda accepted: F.sum(F.when(right & (F.col("accepted") == accepted), F.col("n"))) / F.sum(F.when(F.col("accepted") == accepted, F.col("n")))
+    got = judged.agg(share(True).alias("accepted"), share(False).alias("rejected")).first()
+    a, r = (float(x) if x is not None else float("nan") for x in got)
+    return {"accepted": a, "rejected": r, "balanced": (a + r) / 2}
+
+
 def url_filter(df: DataFrame, known: Sequence[Rule], url: str = "url", out: str = "url_filter", held_out: int = 10) -> DataFrame:
     """df with a struct column ``out``: host, path, rule (null if none fits), allow (the rule's, else the models'), score.
 
     The URLs that rules decide are the labelled ones: every one of them counts for the models, but for one in
     ``held_out`` (by hash), which set the limit. All others are scored: allowed at the limit or above. A null URL counts
     as an empty one. With no labelled URL of one class the limit is 0 and the models know only the other class.
-    Repeated URLs are scored once and share the result. A column of df called ``out`` is replaced; an empty table gives an
-    empty one.
+    Repeated URLs are scored once and share the result; a URL that very many rows share is joined in several tasks. A very long
+    URL becomes a row for each of its characters, one after the other. A column of df called ``out`` is replaced; an
+    empty table gives an empty one.
     """
     key, had = fresh(df, "_u"), [c for c in df.columns if c.lower() != out.lower()]
     u = quoted(url)
-    distinct = stored(df.select(_seen(u).alias("u"), ruled(host(u), path(u), known)["allow"].alias("accepted")).groupBy("u", "accepted").agg(F.count(F.lit(1)).alias("n")), "urls")
+    distinct = _labelled(df, known, url)
+    rows = int(distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     labelled = distinct.where("accepted is not null")
-    unseen = F.pmod(F.xxhash64("u"), F.lit(held_out)) == 0
-    model = stored(fit(labelled.where(~unseen)), "url-model")
-    test = labelled.where(unseen)
+    model = stored(fit(labelled.where(~_fold(0, held_out))), "url-model")
+    test = labelled.where(_fold(0, held_out))
     limit = calibrated(score(test.select("u").distinct(), model).join(test, "u"))
-    scores = score(distinct.where("accepted is null").select("u"), model)
-    read = df.select(*[quoted(c) for c in had], _seen(u).alias(key), host(u).alias(h := fresh(df, "_host")), path(u).alias(p := fresh(df, "_path")), ruled(host(u), path(u), known).alias(r := fresh(df, "_rule")))
-    joined = read.alias("d").join(scores.alias("s"), of("d", key) == F.col("s.u"), "left")
-    verdict = F.coalesce(of("d", r)["allow"], F.col("s.score") >= limit)
-    result = F.struct(of("d", h).alias("host"), of("d", p).alias("path"), of("d", r)["rule"].alias("rule"), verdict.alias("allow"), F.when(of("d", r).isNull(), F.col("s.score")).alias("score"))
+    keys = (F.xxhash64(F.col("u"), F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), F.col("u")).alias("k2"))
+    scores = score(distinct.where("accepted is null").select("u"), model).select(*keys, "score")
+    names = [fresh(df, x) for x in ("_host", "_path", "_rule")]
+    h, p, r = names
+    read = df.select(*[quoted(c) for c in had], _seen(u).alias(key), host(u).alias(h), path(u).alias(p), ruled(host(u), path(u), known).alias(r))
+    joined = with_rows(read, key, out, scores, rows, "left")
+    verdict = F.coalesce(of("d", r)["allow"], F.col("j.score") >= limit)
+    result = F.struct(of("d", h).alias("host"), of("d", p).alias("path"), of("d", r)["rule"].alias("rule"), verdict.alias("allow"), F.when(of("d", r).isNull(), F.col("j.score")).alias("score"))
     return joined.select(*[of("d", c).alias(c) for c in had], result.alias(out))
 
 
