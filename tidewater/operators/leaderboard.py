@@ -39,15 +39,40 @@ def top(board: DataFrame, member: str, k: int, member_desc: bool = False) -> Dat
     return board.orderBy(*_by_rank(member, member_desc)).limit(k)
 
 
+#: Members that one task orders, and ranges at most.
+TASK, RANGES = 1 << 20, 4096
+
+
+def _ranges(board: DataFrame) -> DataFrame:
+    """board with ``_range``: like scores share one, higher scores have lower numbers. Bounds are quantiles, RANGES at most."""
+    want = min(RANGES, max(8, board.count() // TASK))
+    score = F.col("score").cast("double")
+    bounds = sorted(set(board.select(score.alias("score")).approxQuantile("score", [k / want for k in range(1, want)], 1 / (4 * want))))
+    return board.withColumn("_range", F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<double>"), lambda b: b > score)))
+
+
 def ranked(board: DataFrame, member: str, by: list[str] | None = None, member_desc: bool = False) -> DataFrame:
     """position (0-based), competition rank ("1224") and dense rank ("1223"), within ``by`` or over all.
 
-    Over all members a single ordered pass is needed; score_counts() with rank_by_counts() gives the two ranks
-    that depend on the score alone without it.
+    Over all members the board is cut into ranges of scores, each is ordered by a task of its own, and what stands in
+    the ranges above is added.
     """
-    part = W.partitionBy(*(by or []))
+    part = W.partitionBy(*(by or ["_range"]))
     score = part.orderBy(F.col("score").desc())
-    return board.select("*", (F.row_number().over(part.orderBy(*_by_rank(member, member_desc))) - 1).cast("bigint").alias("position"), F.rank().over(score).cast("bigint").alias("competition"), F.dense_rank().over(score).cast("bigint").alias("dense"))
+    within = {
+        "position": F.row_number().over(part.orderBy(*_by_rank(member, member_desc))) - 1,
+        "competition": F.rank().over(score),
+        "dense": F.dense_rank().over(score),
+    }
+    if by:
+        return board.select("*", *[x.cast("bigint").alias(c) for c, x in within.items()])
+    cut = _ranges(board)
+    above = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over one row a range
+    sums = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("score").alias("_d"))
+    sums = sums.select("_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_n", "_d")])
+    placed = cut.select("*", *[x.alias(c) for c, x in within.items()]).join(F.broadcast(sums), "_range")
+    plus = {"position": "_n", "competition": "_n", "dense": "_d"}
+    return placed.select(*board.columns, *[(F.col(c) + F.col(x)).cast("bigint").alias(c) for c, x in plus.items()])
 
 
 def rank_by_counts(board: DataFrame, member: str) -> DataFrame:

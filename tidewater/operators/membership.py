@@ -1,9 +1,10 @@
-"""Asking for keys that don't exist: Bloom filters, exact membership, negative caching."""
+"""Asking for keys that don't exist: Bloom filters, exact membership, remembered absences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.hashing import bloom_slots
 
@@ -46,6 +47,8 @@ def false_positives(judged: DataFrame) -> DataFrame:
 def invisible(reads: DataFrame, creations: DataFrame, key: str, ts: str, created: str, ttl: int) -> DataFrame:
     """Rows created while a tombstone of theirs was live: (key, created, visible_at). A tombstone lives from a read of a
     missing key for ``ttl`` ticks, its end excluded; the latest live one decides."""
-    tomb = reads.select(F.col(key), F.col(ts).alias("_tomb"))
-    hidden = creations.join(tomb, key).where((F.col("_tomb") <= F.col(created)) & (F.col(created) < F.col("_tomb") + ttl))
-    return hidden.groupBy(key, created).agg((F.max("_tomb") + ttl).alias("visible_at"))
+    events = reads.select(F.col(key), F.col(ts).alias("_at"), F.col(ts).alias("_tomb")).unionByName(creations.select(F.col(key), F.col(created).alias("_at"), F.lit(None).cast(reads.schema[ts].dataType).alias("_tomb")))
+    # Tombstones stand before creations of the same moment; the last one before a creation decides, so nothing is paired.
+    before = W.partitionBy(key).orderBy(F.col("_at"), F.col("_tomb").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    last = events.withColumn("_last", F.last("_tomb", ignorenulls=True).over(before)).where(F.col("_tomb").isNull() & (F.col("_at") < F.col("_last") + ttl))
+    return last.groupBy(key, F.col("_at").alias(created)).agg((F.max("_last") + ttl).alias("visible_at"))

@@ -1,53 +1,61 @@
 """Cache replay over access traces: time-to-live folds and exact LRU distances.
 
 A trace's outcomes depend on earlier outcomes ("since the last load"), which no window function can say. The
-folds run JVM-side over sorted arrays. So that no key's whole history becomes one array, a history is cut
-where its state is known anyway: after a pause longer than the time to live the next read is a miss, whatever
-came before. The pieces are folded in parallel.
+time-to-live fold runs over sorted Arrow batches with constant state; explicit operations and LRU lists are cut where the
+state is known anyway, and the pieces replay in parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
-def alive(now: Column, loaded: Column, ttl: Column, inclusive: bool) -> Column:
-    """Whether an entry loaded then still serves now. It is dead when now > loaded + ttl, or with ``inclusive`` at that moment already."""
-    end = loaded + ttl
-    return now < end if inclusive else now <= end
+def _lives(batches: Iterator[pa.RecordBatch], inclusive: bool) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (key, at, ord), with ``hit`` in place of ``first`` and ``ttl``. Between batches only the end of the entry that
+    lives is held; a load jumps to the first access beyond its end."""
+    side = "left" if inclusive else "right"
+    most = np.iinfo(np.int64).max
+    end: int | None = None
+    for batch in batches:
+        column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+        at = column("at").fill_null(0).to_numpy()
+        lives = column("ttl").to_pylist()
+        first = np.flatnonzero(column("first").to_numpy(zero_copy_only=False))
+        hit = np.ones(len(at), bool)
+        cuts = sorted({0, *first.tolist()})
+        for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            if lo or (len(first) and first[0] == 0):
+                end = None
+            place = lo if end is None else lo + int(np.searchsorted(at[lo:hi], end, side))
+            while place < hi:
+                hit[place] = False
+                end = most if lives[place] is None else min(most, int(at[place]) + lives[place])
+                # A life of no length may end before the next access at the same moment.
+                place += 1 + int(np.searchsorted(at[place + 1 : hi], end, side)) if end < most else hi
+        kept = [c for c in batch.schema.names if c not in ("first", "ttl")]
+        yield pa.RecordBatch.from_arrays([*[column(c) for c in kept], pa.array(hit)], names=[*kept, "hit"])
 
 
 def ttl_replay(trace: DataFrame, key: str, at: str, order: str, ttl: Column | int | None, inclusive: bool = False) -> DataFrame:
     """Read-through replay: trace's (key, at, order) with ``hit``. A miss loads; an entry lives ``ttl`` from its load, not
     from its last use; a ttl of null never ends. ``at`` is a BIGINT; ``order`` makes the order total.
+
+    Keys are sorted through by their tasks as a stream: one end of life is held, however long a key's history is.
     """
-    life = F.lit(ttl).cast("bigint") if not isinstance(ttl, Column) else ttl
-    seen = trace.select(key, F.col(at).alias("at"), F.col(order).alias("ord"), life.alias("ttl"))
-    each = W.partitionBy(key).orderBy("at", "ord")
-    was = F.lag("at").over(each)
-    # Over the longest life in force so far a pause certainly ends in a miss.
-    longest = F.max(F.coalesce("ttl", F.lit((1 << 62)))).over(each.rowsBetween(W.unboundedPreceding, -1))
-    cut = seen.withColumn("cut", (F.row_number().over(each) == 1) | (F.col("at") - was > longest))
-    parts = cut.withColumn("part", F.count_if("cut").over(each.rowsBetween(W.unboundedPreceding, 0)))
-    rows = parts.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct("at", "ord", "ttl"))).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["loaded"].isNotNull() & (acc["life"].isNull() | alive(x["at"], acc["loaded"], acc["life"], inclusive))
-        return F.struct(
-            F.when(ok, acc["loaded"]).otherwise(x["at"]).alias("loaded"),
-            F.when(ok, acc["life"]).otherwise(x["ttl"]).alias("life"),
-            F.concat(acc["out"], F.array(ok)).alias("out"),
-        )
-
-    none = F.lit(None).cast("bigint")
-    start = F.struct(none.alias("loaded"), none.alias("life"), F.array().cast("array<boolean>").alias("out"))
-    folded = rows.select(key, "rows", F.aggregate("rows", start, step)["out"].alias("out"))
-    return folded.select(key, F.inline(F.arrays_zip("rows", "out"))).select(key, F.col("rows.at").alias(at), F.col("rows.ord").alias(order), F.col("out").alias("hit"))
+    life = F.lit(ttl).cast("bigint") if not isinstance(ttl, Column) else ttl.cast("bigint")
+    seen = trace.select(key, F.col(at).cast("bigint").alias("at"), F.col(order).alias("ord"), life.alias("ttl"))
+    first = F.row_number().over(W.partitionBy(key).orderBy("at", "ord")) == 1
+    rows = seen.withColumn("first", first).sortWithinPartitions(key, "at", "ord")
+    kinds = T.StructType([*[rows.schema[c] for c in (key, "at", "ord")], T.StructField("hit", T.BooleanType())])
+    return rows.mapInArrow(lambda batches: _lives(batches, inclusive), kinds).select(key, F.col("at").alias(at), F.col("ord").alias(order), "hit")
 
 
 def op_replay(trace: DataFrame, key: str, at: str, order: str, op: str, ttl: int) -> DataFrame:
@@ -75,6 +83,8 @@ def lru_distances(trace: DataFrame, key: str, seq: str, most: int, chunk: int =
     the chunks before: each chunk keeps its last ``most`` keys; lists are handed on in one small pass over those; then all
     chunks replay in parallel.
     """
+    if most < 1:
+        raise ValueError("a cache holds one key or more")
     cut = trace.select(F.col(seq).alias("seq"), F.col(key).cast("string").alias("key")).withColumn("chunk", F.floor(F.col("seq") / chunk))
     last = cut.groupBy("chunk", "key").agg(F.max("seq").alias("seq"))
     kept = last.withColumn("n", F.row_number().over(W.partitionBy("chunk").orderBy(F.desc("seq")))).where(F.col("n") <= most)
@@ -105,8 +115,11 @@ def lru_distances(trace: DataFrame, key: str, seq: str, most: int, chunk: int =
     return cut.join(starts, "chunk").groupBy("chunk").applyInPandas(replay, "seq bigint, key string, distance bigint")
 
 
-def lru_curve(distances: DataFrame, capacities: list[int]) -> DataFrame:
-    """(capacity, hits, misses, evictions): a miss beyond the capacity evicts."""
+def lru_curve(distances: DataFrame, capacities: list[int], most: int | None = None) -> DataFrame:
+    """(capacity, hits, misses, evictions): a miss beyond the capacity evicts. ``most``: what lru_distances was given; beyond it
+    distances are unknown."""
+    if min(capacities) < 1 or (most is not None and max(capacities) > most):
+        raise ValueError("capacities go from 1 to the most that the distances were made for")
     table = F.explode(F.array(*[F.lit(c).cast("bigint") for c in capacities]))
     counted = distances.select("distance", table.alias("capacity")).groupBy("capacity").agg(F.count_if(F.col("distance") < F.col("capacity")).alias("hits"), F.count(F.lit(1)).alias("all"))
     misses = F.col("all") - F.col("hits")

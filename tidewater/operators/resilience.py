@@ -61,8 +61,8 @@ AVALANCHE = "mode string, round bigint, hits bigint, db_load bigint, goodput big
 def avalanche(requests: DataFrame, round_: str, seq: str, key: str, capacity: int, modes: list[str]) -> DataFrame:
     """A cold cache under load, round by round: naive, all misses go to the database; limited, ``capacity`` of them do.
 
-    What a round served warms the cache for the next, so a mode is one ordered run; modes run in parallel, and a run
-    holds only the warm keys and one round's counters.
+    What a round served warms the cache for the next, so a mode is one ordered run, held whole by its task; modes run in
+    parallel.
     """
     each = requests.select(F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), F.col(round_).cast("bigint").alias("round"), F.col(seq).alias("seq"), F.col(key).alias("key"))
 

@@ -56,8 +56,13 @@ def stale_fills(fills: DataFrame, writes: DataFrame, key: str) -> DataFrame:
 
 def staleness(fills: DataFrame, writes: DataFrame, key: str, delay: int, ttl: int) -> DataFrame:
     """How long a stale fill lives: until a second delete ``delay`` after the write, its expiry, or the next write."""
-    first = F.min(F.when((F.col("written_at") > F.col("read_at")) & (F.col("written_at") <= F.col("filled_at")), F.col("written_at")))
-    later = F.min(F.when(F.col("written_at") > F.col("filled_at"), F.col("written_at")))
-    met = fills.join(writes.select(key, "written_at"), key).groupBy(key, "fill_id", "filled_at").agg(first.alias("write"), later.alias("next"))
+    none = F.lit(None).cast(writes.schema["written_at"].dataType)
+    wrote = writes.select(key, F.col("written_at").alias("at"), F.col("written_at").alias("w"), F.lit(None).cast(fills.schema["fill_id"].dataType).alias("fill_id"), none.alias("filled_at"), F.lit(2).alias("kind"))
+    moment = lambda kind, at: fills.select(key, F.col(at).alias("at"), none.alias("w"), "fill_id", "filled_at", F.lit(kind).alias("kind"))
+    events = wrote.unionByName(moment(0, "read_at")).unionByName(moment(1, "filled_at"))
+    # From late to early; a write of the same moment stands behind, so what was met last is the first write after. Nothing is paired.
+    back = W.partitionBy(key).orderBy(F.desc("at"), "kind").rowsBetween(W.unboundedPreceding, 0)
+    after = events.withColumn("after", F.last("w", ignorenulls=True).over(back)).where("kind < 2")
+    met = after.groupBy(key, "fill_id", "filled_at").agg(F.min(F.when(F.col("kind") == 0, F.col("after"))).alias("write"), F.min(F.when(F.col("kind") == 1, F.col("after"))).alias("next"))
     until = F.least(F.greatest(F.col("write") + delay, F.col("filled_at")), F.col("filled_at") + ttl, F.coalesce("next", F.col("filled_at") + ttl))
-    return met.where("write is not null").select(key, "fill_id", (until - F.col("filled_at")).alias("stale_for"))
+    return met.where("write <= filled_at").select(key, "fill_id", (until - F.col("filled_at")).alias("stale_for"))

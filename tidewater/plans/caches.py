@@ -109,7 +109,7 @@ def lru_distances(spark, d):
 
 @BOOK.add(f"{_PREVIOUS} SELECT c AS capacity, count_if(dist < c)::BIGINT AS hits, (count(*) - count_if(dist < c))::BIGINT AS misses, greatest(count(*) - count_if(dist < c) - c, 0)::BIGINT AS evictions FROM x, (SELECT unnest([4, 8, 16, 32, 64]::BIGINT[]) AS c) GROUP BY c")
 def lru_miss_curve(spark, d):
-    return R.lru_curve(R.lru_distances(accesses(spark, d), "user_id", "event_id", 64), [4, 8, 16, 32, 64])
+    return R.lru_curve(R.lru_distances(accesses(spark, d), "user_id", "event_id", 64), [4, 8, 16, 32, 64], most=64)
 
 
 @BOOK.add("SELECT user_id, row_number() OVER (ORDER BY last) - 1 AS place FROM (SELECT user_id, max(event_id) AS last FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 16)")

@@ -31,8 +31,12 @@ def once(stream: DataFrame, event_id: str = "event_id", ts: str = "ts", late: st
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([event_id])
 
 
-def weekly_best(stream: DataFrame, member: str, score: str, ts: str = "ts") -> DataFrame:
-    """The weekly board: the greatest score of each member and week. Late lower scores change nothing."""
+def weekly_best(stream: DataFrame, member: str, score: str, ts: str = "ts", late: str | None = None) -> DataFrame:
+    """The weekly board: the greatest score of each member and week. Late lower scores change nothing.
+
+    ``late``: how long after its end a week is still kept; then its state goes. None keeps all weeks, as draining a whole table needs.
+    """
+    stream = stream.withWatermark(ts, late) if late else stream
     week = F.window(F.col(ts), "7 days", startTime=MONDAY)
     return stream.groupBy(week.alias("week"), member).agg(F.max(score).alias("score")).select(F.date_format("week.start", "yyyy-MM-dd").alias("week"), member, "score")
 
@@ -80,7 +84,11 @@ def expiring(stream: DataFrame, reservation: str, op: str, ts: str, ttl_seconds:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives for all input there is now, as a written table; in complete mode the last batch's."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidewater-")
     path = f"{root}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
