@@ -163,7 +163,7 @@ def bloom_slots_set(spark, d):
     return M.slots(labelled(spark, d), "doc_id", BITS, PROBES)
 
 
-@BOOK.add(f"SELECT doc_id, {sql_slots('doc_id::VARCHAR', BITS, PROBES)} AS slots FROM documents WHERE doc_id < 50")
+@BOOK.add(f"SELECT doc_id, {sql_slots('doc_id::VARCHAR', BITS, PROBES)} AS slots FROM documents")
 def bloom_probe_places(spark, d):
     return table(spark, d, "documents", "doc_id").select("doc_id", bloom_slots(F.col("doc_id").cast("string"), BITS, PROBES).alias("slots"))
 
