@@ -66,7 +66,7 @@ def test_lru(spark):
 
 def test_lru_chunks_agree(spark):
     trace = traces.zipf(spark, 600, 40)
-    distances = {r["seq"]: r["distance"] for r in replay.lru_distances(trace, "key", "seq", 16, chunk=50).collect()}
+    distances = {r["seq"]: r["distance"] for r in replay.lru_distances(trace, "key", "seq", 16, chunk=7, wide=3).collect()}
     state = []
     for seq, key in sorted(tuple(r) for r in trace.collect()):
         at = state.index(key) if key in state else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -42,22 +43,31 @@ class Lru(Fifo):
 
 
 class Lfu:
-    """The least used goes, of those the oldest insertion. Only hits count, from 1 on; what goes is forgotten; all are admitted."""
+    """The least used goes, of those the oldest insertion. Only hits count, from 1 on; what goes is forgotten; all are admitted.
+
+    The heap has one entry for each key, with a count that may be out of date, but never too high: a first entry that is out of
+    date goes back with its count of now.
+    """
 
     def __init__(self, capacity: int) -> None:
         if capacity < 1:
             raise ValueError("capacity must be 1 or more")
-        self.capacity, self.count, self.born, self.clock = capacity, {}, {}, 0
+        self.capacity, self.count, self.heap, self.clock = capacity, {}, [], 0
 
     def access(self, key: str) -> bool:
         if key in self.count:
             self.count[key] += 1
             return True
-        if len(self.count) >= self.capacity:
-            victim = min(self.count, key=lambda k: (self.count[k], self.born[k]))
-            del self.count[victim], self.born[victim]
+        while len(self.count) >= self.capacity:
+            uses, born, first = self.heap[0]
+            if uses == self.count[first]:
+                heapq.heappop(self.heap)
+                del self.count[first]
+            else:
+                heapq.heapreplace(self.heap, (self.count[first], born, first))
         self.clock += 1
-        self.count[key], self.born[key] = 1, self.clock
+        self.count[key] = 1
+        heapq.heappush(self.heap, (1, self.clock, key))
         return False
 
 
@@ -99,6 +109,8 @@ class TinyLfu:
     sketch has seen it more often than the main part's own next victim."""
 
     def __init__(self, capacity: int) -> None:
+        if capacity < 1:
+            raise ValueError("capacity must be 1 or more")
         self.window, self.main = OrderedDict(), OrderedDict()
         self.front = max(1, int(capacity * 0.1 + 0.5))
         self.rest = capacity - self.front
@@ -129,19 +141,20 @@ class TinyLfu:
 POLICIES = {"fifo": Fifo, "lru": Lru, "lfu": Lfu, "w-tinylfu": TinyLfu}
 
 
-def replay_batches(batches: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
-    """Of batches sorted by instance, policy and seq: a row for each (instance, policy)."""
-    at, cache, accesses, hits, done = None, None, 0, 0, []
+def replay_batches(batches: Iterator[pd.DataFrame], capacity: int, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Of batches sorted by instance and seq: a row for each instance and policy. One instance's caches are held at a time."""
+    at, caches, accesses, hits = None, [], 0, []
+
+    def result() -> pd.DataFrame:
+        rows = [(at, name, accesses, n) for name, n in zip(names, hits, strict=True)] if at is not None else []
+        return pd.DataFrame(rows, columns=["instance", "policy", "accesses", "hits"])
+
     for frame in batches:
-        for instance, policy, key, counts in zip(frame["instance"], frame["policy"], frame["key"], frame["counts"], strict=True):
-            if (instance, policy) != at:
-                if at is not None:
-                    done.append((*at, accesses, hits))
-                at, cache, accesses, hits = (instance, policy), POLICIES[policy](capacity), 0, 0
-            hit = cache.access(key)
-            if counts:
-                accesses += 1
-                hits += hit
-    if at is not None:
-        done.append((*at, accesses, hits))
-    yield pd.DataFrame(done, columns=["instance", "policy", "accesses", "hits"])
+        for instance, key, counts in zip(frame["instance"], frame["key"], frame["counts"], strict=True):
+            if instance != at:
+                yield result()
+                at, caches, accesses, hits = instance, [POLICIES[n](capacity) for n in names], 0, [0] * len(names)
+            accesses += counts
+            for i, cache in enumerate(caches):
+                hits[i] += cache.access(key) and counts
+    yield result()

@@ -7,7 +7,7 @@ state is known anyway, and the pieces replay in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,30 +75,61 @@ def stats(replayed: DataFrame, by: list[str] | None = None) -> DataFrame:
     return replayed.groupBy(*(by or [])).agg(hits.alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.coalesce(F.try_divide(hits, all_), F.lit(0.0)).alias("hit_rate"))
 
 
-def lru_distances(trace: DataFrame, key: str, seq: str, most: int, chunk: int = 4096) -> DataFrame:
+def _latest(lists: Iterable[list[str]], most: int) -> list[str]:
+    """The last ``most`` keys, the latest first, of lists like that of which each is later than those before."""
+    state: list[str] = []
+    for fresh in lists:
+        known = set(fresh)
+        state = (list(fresh) + [k for k in state if k not in known])[:most]
+    return state
+
+
+def _starts(lists: DataFrame, most: int, wide: int, levels: int) -> DataFrame:
+    """(chunk, state): of lists (chunk, keys), the last ``most`` keys before each chunk.
+
+    Taking the last keys is associative, so chunks are summed up by ``wide`` of them, their sums again, ``levels`` times, and a
+    chunk starts from the sum of what lies before its group, then of what lies before it in the group. A task reads ``wide`` lists.
+    """
+    if not levels:
+        return lists.select("chunk", F.array().cast("array<string>").alias("state"))
+    grouped = lists.withColumn("group", F.floor(F.col("chunk") / wide))
+
+    def sums(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": frame["group"].iloc[:1], "keys": [_latest(frame.sort_values("chunk")["keys"], most)]})
+
+    def within(frame: pd.DataFrame) -> pd.DataFrame:
+        state, out = list(frame["state"].iloc[0]), []
+        for c, keys in sorted(zip(frame["chunk"], frame["keys"], strict=True)):
+            out.append((c, state))
+            state = _latest([state, keys], most)
+        return pd.DataFrame(out, columns=["chunk", "state"])
+
+    above = _starts(grouped.groupBy("group").applyInPandas(sums, "chunk bigint, keys array<string>"), most, wide, levels - 1)
+    begun = grouped.join(above.withColumnRenamed("chunk", "group"), "group")
+    return begun.groupBy("group").applyInPandas(within, "chunk bigint, state array<string>")
+
+
+def lru_distances(trace: DataFrame, key: str, seq: str, most: int, chunk: int = 4096, wide: int = 256) -> DataFrame:
     """(seq, key, distance): how many other keys came since the key's last access, up to ``most`` - 1; null if more, or never.
 
     A cache of C <= most entries hits where distance < C, so one pass gives the whole miss curve. An LRU list of
     ``most`` keys is determined by the last accesses before a moment, so chunks of the trace start from a list made of
-    the chunks before: each chunk keeps its last ``most`` keys; lists are handed on in one small pass over those; then all
-    chunks replay in parallel.
+    the chunks before: each chunk keeps its last ``most`` keys, these lists are summed up by a tree of ``wide`` branches, then all
+    chunks replay in parallel. ``seq`` counts from 0 on; gaps cost only groups that are not full.
     """
     if most < 1:
         raise ValueError("a cache holds one key or more")
-    cut = trace.select(F.col(seq).alias("seq"), F.col(key).cast("string").alias("key")).withColumn("chunk", F.floor(F.col("seq") / chunk))
+    cut = trace.select(F.col(seq).cast("bigint").alias("seq"), F.col(key).cast("string").alias("key")).withColumn("chunk", F.floor(F.col("seq") / chunk))
     last = cut.groupBy("chunk", "key").agg(F.max("seq").alias("seq"))
     kept = last.withColumn("n", F.row_number().over(W.partitionBy("chunk").orderBy(F.desc("seq")))).where(F.col("n") <= most)
     lists = kept.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "key"))), lambda x: x["key"]).alias("keys"))
-
-    def handed_on(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = [], []
-        for c, keys in sorted(zip(frame["chunk"], frame["keys"], strict=True)):
-            out.append((c, list(state)))
-            fresh = list(keys)
-            state = (fresh + [k for k in state if k not in set(fresh)])[:most]
-        return pd.DataFrame(out, columns=["chunk", "state"])
-
-    starts = lists.withColumn("trace", F.lit(0)).groupBy("trace").applyInPandas(handed_on, "chunk bigint, state array<string>")
+    ends = cut.agg(F.min("chunk"), F.max("chunk")).first()
+    levels, lo, hi = 0, ends[0] or 0, ends[1] or 0
+    if lo < 0:
+        raise ValueError("places in a trace count from 0 on")
+    while lo != hi:
+        levels, lo, hi = levels + 1, lo // wide, hi // wide
+    starts = _starts(lists, most, wide, levels)
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
@@ -133,18 +164,19 @@ def lru_content(trace: DataFrame, key: str, seq: str, capacity: int) -> DataFram
 
 
 def policies(trace: DataFrame, key: str, seq: str, capacity: int, names: list[str], instance: str | None = None, phase: str | None = None) -> DataFrame:
-    """(instance, policy, accesses, hits): each cache instance's trace through each policy, one task for each.
+    """(instance, policy, accesses, hits): each cache instance's trace through all policies, one task for each instance.
 
     Policies that aren't stack algorithms need one instance's accesses in order; they are read once as a stream of
-    sorted batches, and only the cache itself is held. ``phase``: only rows with "measure" count, all change the cache.
+    sorted batches, and only the caches themselves are held. ``phase``: only rows with "measure" count, all change the caches.
     """
     from .policies import REPLAY_SCHEMA, replay_batches
 
-    rows = trace.select((F.col(instance).cast("string") if instance else F.lit("cache")).alias("instance"), F.col(seq).cast("bigint").alias("seq"), F.col(key).cast("string").alias("key"), (F.col(phase) == "measure" if phase else F.lit(True)).alias("counts"))
-    each = rows.withColumn("policy", F.explode(F.array(*[F.lit(n) for n in names])))
-    dealt = each.repartition("instance", "policy").sortWithinPartitions("instance", "policy", "seq")
+    name = F.col(instance).cast("string") if instance else F.lit("cache")
+    counts = F.col(phase) == "measure" if phase else F.lit(True)
+    rows = trace.select(name.alias("instance"), F.col(seq).cast("bigint").alias("seq"), F.col(key).cast("string").alias("key"), counts.alias("counts"))
+    dealt = rows.repartition("instance").sortWithinPartitions("instance", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return replay_batches(batches, capacity)
+        return replay_batches(batches, capacity, names)
 
     return dealt.mapInPandas(run, REPLAY_SCHEMA)

@@ -10,6 +10,7 @@ from ..operators.policies import SEEDS
 from ..sources import traces
 from .base import Book, table
 from .sqlparts import coin as sql_coin
+from .policysql import replayed
 from .sqlparts import fnv1a_from
 
 BOOK = Book()
@@ -117,35 +118,40 @@ def lru_content(spark, d):
     return R.lru_content(accesses(spark, d), "user_id", "event_id", 16)
 
 
-@BOOK.add()
+_BY_TYPE = "SELECT event_type AS instance, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, user_id::VARCHAR AS key, true AS counts FROM events"
+
+
+@BOOK.add(replayed(_BY_TYPE, 16, ["fifo", "lru", "lfu", "w-tinylfu"]))
 def policy_replay(spark, d):
     """All four policies on the events of each type, a cache of 16 for each."""
     e = table(spark, d, "events", "event_id", "user_id", "event_type")
     return R.policies(e, "user_id", "event_id", 16, ["fifo", "lru", "lfu", "w-tinylfu"], "event_type")
 
 
-@BOOK.add("""WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY seq) AS rn, key FROM
-(SELECT i AS seq, 'h' || (i % 8) AS key FROM range(320) r(i) UNION ALL SELECT 320 + i + (i // 16) * 8, 's' || i FROM range(300) r(i) UNION ALL SELECT 320 + least((i // 8 + 1) * 16, 300) + i, 'h' || (i % 8) FROM range(152) r(i))),
-f AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS q, false AS hit UNION ALL
-SELECT t.rn, CASE WHEN list_contains(f.q, t.key) THEN f.q WHEN len(f.q) < 16 THEN list_append(f.q, t.key) ELSE list_append(f.q[2:], t.key) END, list_contains(f.q, t.key) FROM f JOIN t ON t.rn = f.rn + 1)
-SELECT 'cache' AS instance, 'fifo' AS policy, count(*) AS accesses, count_if(hit)::BIGINT AS hits FROM f WHERE rn > 320""")
+_SCAN = """SELECT i AS seq, 'warm' AS phase, 'h' || (i % 8) AS key FROM range(320) r(i) UNION ALL SELECT 320 + i + (i // 16) * 8, 'measure', 's' || i FROM range(300) r(i)
+UNION ALL SELECT 320 + least((i // 8 + 1) * 16, 300) + i, 'measure', 'h' || (i % 8) FROM range(152) r(i)"""
+_SCANNED = f"SELECT 'cache' AS instance, row_number() OVER (ORDER BY seq) AS rn, key, phase = 'measure' AS counts FROM ({_SCAN})"
+
+
+@BOOK.add(replayed(_SCANNED, 16, ["fifo"]))
 def fifo_scan(spark, d):
     return R.policies(traces.scan(spark), "key", "seq", 16, ["fifo"], phase="phase")
 
 
-@BOOK.add()
+@BOOK.add(replayed(_SCANNED, 16, ["lru", "lfu", "w-tinylfu"]))
 def policy_scan(spark, d):
     """A scan washes hot keys out of FIFO and LRU, not out of the others."""
     return R.policies(traces.scan(spark), "key", "seq", 16, ["lru", "lfu", "w-tinylfu"], phase="phase")
 
 
-@BOOK.add()
-def policy_zipf(spark, d):
-    return R.policies(traces.zipf(spark), "key", "seq", 16, ["fifo", "lru", "lfu", "w-tinylfu"])
-
-
 _ZIPF = f"""WITH w AS (SELECT i, 1.0::DOUBLE / (i + 1) AS w FROM range(60) r(i)), c AS (SELECT i, sum(w) OVER (ORDER BY i) / sum(w) OVER () AS hi, coalesce(sum(w) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER () AS lo FROM w),
 z AS (SELECT i AS seq, {sql_coin("zipf", "i")} AS u FROM range(4000) r(i))"""
+_ZIPFED = f"{_ZIPF} SELECT 'cache' AS instance, z.seq + 1 AS rn, 'k' || c.i AS key, true AS counts FROM z JOIN c ON z.u >= c.lo AND z.u < c.hi"
+
+
+@BOOK.add(replayed(_ZIPFED, 16, ["fifo", "lru", "lfu", "w-tinylfu"]))
+def policy_zipf(spark, d):
+    return R.policies(traces.zipf(spark), "key", "seq", 16, ["fifo", "lru", "lfu", "w-tinylfu"])
 
 
 @BOOK.add(f"{_ZIPF} SELECT 'k' || c.i AS key, count(*) AS n FROM z JOIN c ON z.u >= c.lo AND z.u < c.hi GROUP BY 1")
@@ -153,7 +159,7 @@ def zipf_counts(spark, d):
     return traces.zipf(spark).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.add("SELECT i AS seq, 'warm' AS phase, 'h' || (i % 8) AS key FROM range(320) r(i) UNION ALL SELECT 320 + i + (i // 16) * 8, 'measure', 's' || i FROM range(300) r(i) UNION ALL SELECT 320 + least((i // 8 + 1) * 16, 300) + i, 'measure', 'h' || (i % 8) FROM range(152) r(i)")
+@BOOK.add(_SCAN)
 def scan_trace(spark, d):
     return traces.scan(spark)
 
