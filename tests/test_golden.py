@@ -141,6 +141,19 @@ def test_placement(spark):
     assert [r[0] for r in moved.select("b.node").distinct().collect()] == ["node-E"]
     back = placement.owners(keys, "key", placement.without(five, "node-E"))
     assert rows(placement.remapped(before, back, "key"), "moved") == [(0,)]
+    assert rows(placement.ring_remapped(keys, "key", four, five)) == rows(placement.remapped(before, after, "key"))
+    assert rows(placement.ring_remapped(keys.limit(0), "key", four, five)) == [(0, 0, 0.0)]
+
+
+def test_shares_of_moved_keys(spark):
+    """Of 10,000 keys about four fifths move by modulo from four nodes to five, and about 22 % on a ring of 100 points each."""
+    keys = spark.range(10_000).select(F.concat(F.lit("key:"), "id").alias("key"))
+    by_modulo = placement.moved(keys.select(placement.modulo(F.col("key"), 4).alias("was"), placement.modulo(F.col("key"), 5).alias("node")))
+    assert 0.78 < by_modulo.first()["fraction"] < 0.82
+    nodes = spark.createDataFrame([(f"node-{c}",) for c in "ABCD"], "node string")
+    four = placement.ring(nodes, 100)
+    five = four.unionByName(placement.ring(spark.createDataFrame([("node-E",)], "node string"), 100))
+    assert 0.17 < placement.ring_remapped(keys, "key", four, five).first()["fraction"] < 0.25
 
 
 def test_hot_keys(spark):
@@ -153,6 +166,21 @@ def test_hot_keys(spark):
     assert hotkeys.replica_spread(traffic, "key", "id", 8, 8).agg(F.max("requests")).first()[0] < one
 
 
+def test_near_cache_with_a_life(spark):
+    reads = spark.createDataFrame([("k", s, at, i) for i, (s, at) in enumerate([(0, 0), (1, 0), (0, 5), (0, 11), (1, 10), (1, 30)])], "key string, server int, at long, seq long")
+    assert rows(hotkeys.near_cache_ttl(reads, "key", F.col("server"), "at", "seq", 10)) == [("k", 6, 4)]
+
+
+def test_count_min_of_any_integer(spark):
+    wanted = {0: 3, -1: 5, 7: 1, 2**40 + 3: 2, -(2**62): 4, 2**61 + 12345: 6}
+    traffic = spark.createDataFrame([(k,) for k, n in wanted.items() for _ in range(n)], "key long")
+    made = hotkeys.count_min(traffic, "key", 0.001, 0.99)
+    assert dict(map(tuple, hotkeys.count_min_estimates(traffic, "key", made).collect())) == wanted
+    crowd = spark.range(20_000).select(F.col("id").alias("key"))
+    off = hotkeys.count_min_estimates(crowd, "key", hotkeys.count_min(crowd, "key", 0.001, 0.99)).agg(F.min("estimate"), F.max("estimate")).first()
+    assert off[0] >= 1 and off[1] <= 1 + 20
+
+
 def test_bloom_has_no_false_negatives(spark):
     there = spark.range(1000, 2000).select(F.concat(F.lit("user:"), "id").alias("key"))
     bits = membership.slots(there, "key", 9600, 7)
@@ -183,6 +211,8 @@ def test_inventory(spark):
     asks = spark.range(1000).select(F.lit("x").alias("item"), F.col("id").alias("seq"))
     assert rows(inventory.oversold(asks, "item", 5)) == [("x", 1000, 995, 4)]
     assert rows(inventory.outcomes(inventory.gate(asks, "item", "seq", F.lit(5)))) == [(5, 995)]
+    assert rows(inventory.gate_outcomes(asks, "item", F.lit(5))) == [(5, 995)]
+    assert rows(inventory.queued(asks, "item", "seq", 3).where("turn <= 4"), "turn", "token") == [(1, 1), (2, 2), (3, 3), (4, None)]
     ops = [(0, "reserve", f"r{i}") for i in range(10)] + [(1, "confirm", f"r{i}") for i in range(6)] + [(2, "release", "r6"), (2, "release", "r6"), (6, "sweep", None), (6, "reserve", "r10"), (6, "confirm", "r10")]
     log = spark.createDataFrame([("x", i, *o) for i, o in enumerate(ops)], "item string, seq long, tick long, op string, id string")
     ledger = inventory.ledger(log, "item", "seq", "tick", "op", "id", 10, 5)
@@ -203,3 +233,35 @@ def test_boards(spark):
     assert leaderboard.first_deliveries(retries, "event_id", "delivery").agg(F.sum("points")).first()[0] == 80
     late = spark.createDataFrame([("m", 500), ("m", 800), ("m", 700)], "member string, score long")
     assert rows(leaderboard.best(late, "member", "score")) == [("m", 800)]
+
+
+def test_what_upserts_return(spark):
+    log = spark.createDataFrame([("m", i, s) for i, s in enumerate([5, 5, 8, 7, 8, 9])], "member string, seq long, score long")
+    assert [c for _, c in rows(leaderboard.changes(log, "member", "score", "seq"), "seq", "changed")] == [True, False, True, True, True, True]
+    assert [c for _, c in rows(leaderboard.changes(log, "member", "score", "seq", greater=True), "seq", "changed")] == [True, False, True, False, False, True]
+
+
+def test_snapshots_replace_their_own_day(spark, tmp_path):
+    day = lambda d, points: spark.createDataFrame([(d, m, p) for m, p in points], "day string, member string, score long").select(F.to_date("day").alias("period"), "member", "score")
+    path = str(tmp_path / "boards")
+    leaderboard.snapshot(day("2024-01-01", [("a", 5), ("b", 5), ("c", 1)]).unionByName(day("2024-01-02", [("a", 1)])), "member", path)
+    again = leaderboard.snapshot(day("2024-01-02", [("b", 4), ("a", 2)]), "member", path)
+    assert rows(again) == [("2024-01-01", "a", 5, 1), ("2024-01-01", "b", 5, 1), ("2024-01-01", "c", 1, 2), ("2024-01-02", "a", 2, 2), ("2024-01-02", "b", 4, 1)]
+
+
+def test_least_used_goes_against_a_scan():
+    import random
+
+    rng = random.Random(3)
+    lfu, uses, born = POLICIES["lfu"](5), {}, {}
+    for i in range(4000):
+        key = f"k{int(rng.random() ** 2 * 14)}"
+        hit = key in uses
+        if hit:
+            uses[key] += 1
+        else:
+            if len(uses) == 5:
+                gone = min(uses, key=lambda k: (uses[k], born[k]))
+                del uses[gone], born[gone]
+            uses[key], born[key] = 1, i
+        assert lfu.access(key) == hit and set(lfu.count) == set(uses)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -62,18 +65,24 @@ def early_refreshes(readers: DataFrame, tick: str, reader: str, ttl: int, delta:
 
     How far a reader reaches depends on its own coin alone. Of a tick's readers only these can matter: who reaches beyond
     tick + ttl, which is the furthest that an end can be, and before them who reaches further than all others so far.
-    The chain of refreshes is a fold over these few.
+    The chain of refreshes is a fold over these few, of which the end alone is held.
     """
     u = F.lit(1.0) - coin("xfetch", F.col(tick), F.col(reader))
     every = readers.select(tick, reader, F.explode(F.array(*[F.lit(float(b)) for b in betas])).alias("beta"), u.alias("u"))
     reach = F.col(tick) - F.lit(delta) * F.col("beta") * F.ln("u")
     before = F.max("reach").over(W.partitionBy("beta", tick).orderBy(reader).rowsBetween(W.unboundedPreceding, -1))
     leads = every.withColumn("reach", reach).withColumn("best", before).where(F.col("best").isNull() | (F.col("reach") > F.col("best")) | (F.col("reach") >= F.col(tick) + ttl))
-    rows = leads.groupBy("beta").agg(F.sort_array(F.collect_list(F.struct(F.col(tick).cast("bigint").alias("tick"), F.col(reader).cast("bigint").alias("reader"), "reach"))).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fires = x["reach"] >= acc["end"]
-        return F.struct(F.when(fires, x["tick"] + F.lit(ttl)).otherwise(acc["end"]).alias("end"), F.when(fires, F.concat(acc["out"], F.array(F.struct(x["tick"].alias("tick"), x["reader"].alias("reader"))))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(ttl).cast("bigint").alias("end"), F.array().cast("array<struct<tick:bigint,reader:bigint>>").alias("out"))
-    return rows.select("beta", F.inline(F.aggregate("rows", start, step)["out"]))
+    rows = leads.select("beta", F.col(tick).cast("bigint").alias("tick"), F.col(reader).cast("bigint").alias("reader"), "reach")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, end = None, ttl
+        for f in frames:
+            fired = []
+            for b, t, far in zip(f["beta"], f["tick"], f["reach"], strict=True):
+                if b != at:
+                    at, end = b, ttl
+                fired.append(far >= end)
+                end = t + ttl if fired[-1] else end
+            yield f.loc[fired, ["beta", "tick", "reader"]]
+
+    return rows.repartition("beta").sortWithinPartitions("beta", "tick", "reader").mapInPandas(run, "beta double, tick bigint, reader bigint")

@@ -43,6 +43,15 @@ def near_cache_loads(traffic: DataFrame, key: str, server: Column) -> DataFrame:
     return by_server.groupBy(key).agg(F.sum("n").alias("requests"), F.count(F.lit(1)).alias("loads"))
 
 
+def near_cache_ttl(traffic: DataFrame, key: str, server: Column, at: str, order: str, ttl: int) -> DataFrame:
+    """The same where a local entry lives ``ttl`` from its load: (requests, loads) per key; each server's copy is replayed alone."""
+    from .replay import ttl_replay
+
+    copies = traffic.select(F.struct(F.col(key).alias("key"), server.alias("server")).alias("copy"), at, order)
+    replayed = ttl_replay(copies, "copy", at, order, ttl)
+    return replayed.groupBy(F.col("copy.key").alias(key)).agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("hit")).alias("loads"))
+
+
 def replica_spread(traffic: DataFrame, key: str, seq: str, replicas: int, shards: int) -> DataFrame:
     """Load per shard when each read goes to a random one of ``replicas`` copies named key#r."""
     copy = F.concat_ws("#", F.col(key).cast("string"), F.floor(coin("replica", F.col(seq)) * replicas).cast("string"))
@@ -75,3 +84,30 @@ def estimates(keys: DataFrame, key: str, cells: DataFrame, width: int) -> DataFr
     """(key, estimate): the least of a key's cells, never below its count. The sketch, len(SEEDS) * width rows, is broadcast."""
     asked = keys.select(key).distinct().select(key, F.inline(_cells(key, width)))
     return asked.join(F.broadcast(cells), ["row", "slot"], "left").groupBy(key).agg(F.min(F.coalesce("n", F.lit(0).cast("bigint"))).alias("estimate"))
+
+
+def count_min(traffic: DataFrame, key: str, eps: float, confidence: float, seed: int = 7) -> DataFrame:
+    """One row with a binary ``sketch`` of an integer key's counts, made of partial sketches that merge; eps and confidence bound its size."""
+    return traffic.agg(F.count_min_sketch(F.col(key).cast("bigint"), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
+
+
+def count_min_estimates(keys: DataFrame, key: str, made: DataFrame) -> DataFrame:
+    """(key, estimate) from count_min(): with its confidence at most eps times all requests too high, never too low.
+
+    The sketch (one row, of bounded size) is broadcast and read in place. It holds a version and its total, 12 bytes, then depth and width
+    (4 bytes each), a factor for each row, then the rows' counters (8 bytes each).
+    """
+    number = lambda at, size: F.conv(F.hex(F.substring("sketch", at, size)), 16, -10).cast("bigint")
+    sized = made.select("sketch", number(F.lit(13), F.lit(4)).cast("int").alias("_d"), number(F.lit(17), F.lit(4)).cast("int").alias("_w"))
+    low = F.lit(0xFFFFFFFF)
+
+    def counter(row: Column) -> Column:
+        factor = number(F.lit(21) + row * 8, F.lit(8))
+        part = factor * F.col("_key").bitwiseAND(low)  # factor < 2**31, so nothing is lost
+        high = F.shiftright(part, 32) + factor * F.shiftright("_key", 32)
+        slot = F.pmod((part.bitwiseAND(low) + high.bitwiseAND(low)).bitwiseAND(F.lit(0x7FFFFFFF)), F.col("_w")).cast("int")
+        return number(F.lit(21) + F.col("_d") * 8 + (row * F.col("_w") + slot) * 8, F.lit(8))
+
+    asked = keys.select(key).distinct().withColumn("_key", F.col(key).cast("bigint")).join(F.broadcast(sized))
+    rows = F.sequence(F.lit(0), F.col("_d") - 1)
+    return asked.select(key, F.array_min(F.transform(rows, counter)).alias("estimate"))

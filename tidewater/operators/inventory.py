@@ -31,6 +31,13 @@ def outcomes(gated: DataFrame) -> DataFrame:
     return gated.agg(F.count_if("won").alias("winners"), F.count_if(~F.col("won")).alias("bounced"))
 
 
+def gate_outcomes(requests: DataFrame, item: str, stock: Column) -> DataFrame:
+    """outcomes() of gate(), by counts alone: nothing is ordered. ``stock`` may be a column that is the same in all rows of an item."""
+    per = requests.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.first(stock).cast("bigint").alias("stock"))
+    won = F.least("n", F.greatest("stock", F.lit(0).cast("bigint")))
+    return per.agg(F.sum(won).alias("winners"), F.sum(F.col("n") - won).alias("bounced"))
+
+
 def greedy(requests: DataFrame, item: str, seq: str, qty: str, stock: float) -> DataFrame:
     """requests (item, seq, qty) with ``won``: each takes its quantity if there is still enough; who asks for too much is
     skipped, and later smaller ones may still fit. An ordered stream per item, of which only the stock left is held."""
@@ -51,6 +58,13 @@ def greedy(requests: DataFrame, item: str, seq: str, qty: str, stock: float) ->
     return rows.mapInPandas(run, f"item {kind}, seq bigint, qty double, won boolean").withColumnsRenamed({"item": item, "seq": seq, "qty": qty})
 
 
+def queued(requests: DataFrame, item: str, seq: str, tokens: int) -> DataFrame:
+    """requests with ``turn`` and ``token``: each item has one writer, which takes its requests in order, from turn 1 on, and hands out tokens
+    1 to ``tokens``; who comes after them gets none (null). An item's queue is one sorted run, of which a counter is held."""
+    turn = F.row_number().over(W.partitionBy(item).orderBy(seq)).cast("bigint")
+    return requests.withColumn("turn", turn).withColumn("token", F.when(F.col("turn") <= tokens, F.col("turn")))
+
+
 LEDGER = "available bigint, live bigint, confirmed bigint"
 
 

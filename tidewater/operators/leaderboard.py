@@ -22,6 +22,16 @@ def latest(events: DataFrame, member: str, score: str, seq: str) -> DataFrame:
     return events.groupBy(member).agg(F.max_by(score, seq).alias("score"))
 
 
+def changes(events: DataFrame, member: str, score: str, seq: str, greater: bool = False) -> DataFrame:
+    """events with ``changed``: whether the upsert added the member or gave it another score; with ``greater`` only a greater one is taken."""
+    before = W.partitionBy(member).orderBy(seq)
+    if greater:
+        held = F.max(score).over(before.rowsBetween(W.unboundedPreceding, -1))
+        return events.withColumn("changed", held.isNull() | (F.col(score) > held))
+    held = F.lag(score).over(before)
+    return events.withColumn("changed", held.isNull() | (F.col(score) != held))
+
+
 def best(events: DataFrame, member: str, score: str) -> DataFrame:
     """Keep-the-greater upsert: late or lower scores change nothing, so the order of events doesn't matter."""
     return events.groupBy(member).agg(F.max(score).alias("score"))
@@ -41,6 +51,8 @@ def top(board: DataFrame, member: str, k: int, member_desc: bool = False) -> Dat
 
 #: Members that one task orders, and ranges at most.
 TASK, RANGES = 1 << 20, 4096
+#: Files of a period in a snapshot, at most.
+PARTS = 16
 
 
 def _ranges(board: DataFrame) -> DataFrame:
@@ -126,6 +138,11 @@ def bucket_of(score: Column, width: float, buckets: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor(score / F.lit(width)), F.lit(buckets - 1))).cast("bigint")
 
 
+def histograms(board: DataFrame, by: str, width: float, buckets: int) -> DataFrame:
+    """(by, bucket, n): the histograms of all regions in one pass."""
+    return board.groupBy(by, bucket_of(F.col("score"), width, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def merged(*histograms: DataFrame) -> DataFrame:
     """Histograms of disjoint boards as one: counts add."""
     whole = histograms[0]
@@ -159,3 +176,14 @@ def retained(boards: DataFrame, keep: int) -> DataFrame:
     """Boards of the last ``keep`` periods; older ones have expired. Periods are few and are ordered alone."""
     live = boards.select("period").distinct().orderBy(F.col("period").desc()).limit(keep)
     return boards.join(F.broadcast(live), "period", "left_semi")
+
+
+def snapshot(boards: DataFrame, member: str, path: str) -> DataFrame:
+    """Write each period's board with dense ranks as Parquet below ``path``, a folder for each period, and read it back.
+
+    A period that is written again replaces its folder; the folders of other periods stay as they are.
+    """
+    made = ranked(boards, member, ["period"]).select(F.date_format("period", "yyyy-MM-dd").alias("period"), member, "score", "dense")
+    writer = made.repartition("period", F.pmod(F.xxhash64(member), F.lit(PARTS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("period").parquet(path)
+    return made.sparkSession.read.schema(made.schema).option("basePath", path).parquet(path).select(*made.columns)

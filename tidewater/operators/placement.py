@@ -51,8 +51,18 @@ def owners(keys: DataFrame, key: str, points: DataFrame, cells: int = 1024) -> D
     return hashed.join(F.broadcast(cut), "_cell").where((F.col("_h") > F.col("lo")) & (F.col("_h") <= F.col("hi"))).drop("_cell", "lo", "hi").withColumnRenamed("_h", "hash")
 
 
+def moved(both: DataFrame) -> DataFrame:
+    """How many keys changed their owner, of rows with ``was`` and ``node``: (keys, moved, fraction); the fraction of none is 0."""
+    changed, keys = F.count_if(F.col("was") != F.col("node")), F.count(F.lit(1))
+    return both.agg(keys.alias("keys"), changed.alias("moved"), F.coalesce(F.try_divide(changed, keys), F.lit(0.0)).alias("fraction"))
+
+
 def remapped(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """How many keys changed their owner: (keys, moved, fraction)."""
-    both = before.select(key, F.col("node").alias("was")).join(after.select(key, "node"), key)
-    moved = F.count_if(F.col("was") != F.col("node"))
-    return both.agg(F.count(F.lit(1)).alias("keys"), moved.alias("moved"), (moved / F.count(F.lit(1))).alias("fraction"))
+    """moved() of two placements (key, node) that come from different tables."""
+    return moved(before.select(key, F.col("node").alias("was")).join(after.select(key, "node"), key))
+
+
+def ring_remapped(keys: DataFrame, key: str, before: DataFrame, after: DataFrame) -> DataFrame:
+    """moved() of a ring's points before and after a change: keys pass both rings on their way, none is shuffled."""
+    was = owners(keys.select(key), key, before).select(key, F.col("node").alias("was"))
+    return moved(owners(was, key, after))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,24 +35,32 @@ def breaker(rounds: DataFrame, key: str, round_: str, failed: Column, threshold:
 
     Closed, it opens at ``threshold`` failed rounds in a row; open, it lets nothing through until ``cooldown`` rounds have
     passed, then tries (half-open): success closes it, failure opens it again. ``state`` is what a round met.
-    A key has one row a round, so the folded arrays are as long as there are rounds.
+    Each key's rounds are one ordered stream, of which only the breaker's state is held.
     """
-    rows = rounds.select(key, F.struct(F.col(round_).cast("bigint").alias("round"), failed.alias("failed")).alias("x")).groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        state = F.when((acc["state"] == "open") & (x["round"] - acc["opened"] >= cooldown), "half-open").otherwise(acc["state"])
-        failures = F.when(x["failed"], acc["failures"] + 1).otherwise(0)
-        opens = x["failed"] & ((state == "half-open") | (failures >= threshold))
-        after = F.when(state == "open", "open").when(opens, "open").when(x["failed"], state).otherwise("closed")
-        return F.struct(
-            after.alias("state"),
-            F.when(state == "open", acc["failures"]).otherwise(failures).alias("failures"),
-            F.when((state != "open") & opens, x["round"]).otherwise(acc["opened"]).alias("opened"),
-            F.concat(acc["out"], F.array(F.struct(x["round"].alias("round"), state.alias("state"), (state != "open").alias("allowed")))).alias("out"),
-        )
-
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(-1).cast("bigint").alias("opened"), F.array().cast("array<struct<round:bigint,state:string,allowed:boolean>>").alias("out"))
-    return rows.select(key, F.inline(F.aggregate("rows", start, step)["out"]))
+    rows = rounds.select(F.col(key).alias("key"), F.col(round_).cast("bigint").alias("round"), failed.alias("failed"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, failures, opened = None, "closed", 0, -1
+        for f in frames:
+            met = []
+            for k, r, bad in zip(f["key"], f["round"], f["failed"], strict=True):
+                if k != at:
+                    at, state, failures, opened = k, "closed", 0, -1
+                if state == "open" and r - opened >= cooldown:
+                    state = "half-open"
+                met.append(state)
+                if state == "open":
+                    continue
+                failures = failures + 1 if bad else 0
+                if bad and (state == "half-open" or failures >= threshold):
+                    state, opened = "open", r
+                elif not bad:
+                    state = "closed"
+            yield pd.DataFrame({"key": f["key"], "round": f["round"], "state": met, "allowed": [m != "open" for m in met]})
+
+    kind = rounds.schema[key].dataType.simpleString()
+    ordered = rows.repartition("key").sortWithinPartitions("key", "round")
+    return ordered.mapInPandas(run, f"key {kind}, round bigint, state string, allowed boolean").withColumnRenamed("key", key)
 
 
 AVALANCHE = "mode string, round bigint, hits bigint, db_load bigint, goodput bigint, shed bigint, success double, cached bigint"
@@ -61,24 +69,40 @@ AVALANCHE = "mode string, round bigint, hits bigint, db_load bigint, goodput big
 def avalanche(requests: DataFrame, round_: str, seq: str, key: str, capacity: int, modes: list[str]) -> DataFrame:
     """A cold cache under load, round by round: naive, all misses go to the database; limited, ``capacity`` of them do.
 
-    What a round served warms the cache for the next, so a mode is one ordered run, held whole by its task; modes run in
-    parallel.
+    What a round served warms the cache for the next, so a mode is one ordered stream; its task holds the warm keys, which is
+    what the cache itself holds, and one round's counts. Modes run in parallel.
     """
-    each = requests.select(F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), F.col(round_).cast("bigint").alias("round"), F.col(seq).alias("seq"), F.col(key).alias("key"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        warm, out = OrderedDict(), []
-        mode = frame["mode"].iloc[0]
-        for r, part in frame.sort_values(["round", "seq"]).groupby("round"):
-            missed = [k for k in part["key"] if k not in warm]
-            sent = missed if mode == "naive" else missed[:capacity]
-            good = len(sent) if len(sent) <= capacity else max(0, 2 * capacity - len(sent))
-            hits = len(part) - len(missed)
-            warm.update(dict.fromkeys(sent[:good]))
-            out.append((mode, r, hits, len(sent), good, len(missed) - len(sent), (hits + good) / len(part), len(warm)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in AVALANCHE.split(", ")])
-
-    return each.groupBy("mode").applyInPandas(run, AVALANCHE)
+    kind = requests.schema[key].dataType.simpleString()
+    each = requests.select(F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), F.col(round_).cast("bigint").alias("round"), F.col(seq).alias("seq"), F.col(key).cast(kind).alias("key"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, warm, sent, asked, missed = None, set(), [], 0, 0
+
+        def result() -> pd.DataFrame:
+            """The round that ends: what it was served stays warm."""
+            rows = []
+            if at is not None:
+                load = len(sent) if at[0] != "naive" else missed
+                good = load if load <= capacity else max(0, 2 * capacity - load)
+                warm.update(sent[:good])
+                rows.append((*at, asked - missed, load, good, missed - load, (asked - missed + good) / asked, len(warm)))
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in AVALANCHE.split(", ")])
+
+        for f in frames:
+            for mode, r, k in zip(f["mode"], f["round"], f["key"], strict=True):
+                if (mode, r) != at:
+                    yield result()
+                    if at is None or mode != at[0]:
+                        warm = set()
+                    at, sent, asked, missed = (mode, r), [], 0, 0
+                asked += 1
+                if k not in warm:
+                    missed += 1
+                    if len(sent) < capacity:  # no more than the capacity is served in time, in any mode
+                        sent.append(k)
+        yield result()
+
+    return each.repartition("mode").sortWithinPartitions("mode", "round", "seq").mapInPandas(run, AVALANCHE)
 
 
 def recovery(rounds: DataFrame, success: float = 0.95) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import coin
 from ..operators import leaderboard as L
+from ..sources.folders import shared_folder
 from .base import Book, table
 from .sqlparts import coin as sql_coin
 
@@ -47,6 +50,18 @@ def board_zadd(spark, d):
     return L.latest(events(spark, d, "event_id", "user_id", "value"), "user_id", "value", "event_id")
 
 
+@BOOK.add("SELECT event_id, user_id, coalesce(floor(value) <> lag(floor(value)) OVER (PARTITION BY user_id ORDER BY event_id), true) AS changed FROM events")
+def board_changes(spark, d):
+    """What each upsert returns: whether it changed the board."""
+    whole = events(spark, d, "event_id", "user_id", "value").withColumn("value", F.floor("value"))
+    return L.changes(whole, "user_id", "value", "event_id").select("event_id", "user_id", "changed")
+
+
+@BOOK.add("SELECT event_id, user_id, coalesce(value > max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS changed FROM events")
+def max_wins_changes(spark, d):
+    return L.changes(events(spark, d, "event_id", "user_id", "value"), "user_id", "value", "event_id", greater=True).select("event_id", "user_id", "changed")
+
+
 @BOOK.add("SELECT user_id, max(value) AS score FROM events GROUP BY user_id")
 def max_wins(spark, d):
     return L.best(events(spark, d, "user_id", "value"), "user_id", "value")
@@ -156,8 +171,7 @@ def regional_merge(spark, d):
 
 @BOOK.add(f"SELECT greatest(0, least(floor(score / 50000.0), 39))::BIGINT AS bucket, count(*) AS n FROM ({BY_CUSTOMER}) GROUP BY 1")
 def merged_histogram(spark, d):
-    everyone = customers(spark, d)
-    return L.merged(*[L.histogram(everyone.where(F.col("n_regionkey") == r), 50000.0, 40) for r in range(5)])
+    return L.merged(L.histograms(customers(spark, d), "n_regionkey", 50000.0, 40))
 
 
 @BOOK.add("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, user_id, max(value) AS score FROM events GROUP BY 1, 2")
@@ -181,6 +195,14 @@ def dense_snapshot(spark, d):
     return L.ranked(daily, "user_id", ["period"]).select(F.date_format("period", "yyyy-MM-dd").alias("day"), "user_id", "score", "dense")
 
 
+@BOOK.add("""SELECT strftime(day, '%Y-%m-%d') AS period, user_id, score, dense_rank() OVER (PARTITION BY day ORDER BY score DESC) AS dense
+FROM (SELECT date_trunc('day', ts) AS day, user_id, floor(sum(value) / 20)::BIGINT AS score FROM events GROUP BY 1, 2)""")
+def written_snapshot(spark, d):
+    """The daily boards as they are read back from a written snapshot."""
+    daily = L.periods(events(spark, d, "ts", "user_id", "value"), "ts", "day").groupBy("period", "user_id").agg(F.floor(F.sum("value") / 20).alias("score"))
+    return L.snapshot(daily, "user_id", f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}")
+
+
 @BOOK.add(f"""WITH e AS (SELECT seq, floor(pow({sql_coin("player", "seq")}, 2.5) * 10000)::BIGINT AS player, 1 + floor({sql_coin("points", "seq")} * 50)::BIGINT AS points FROM (SELECT unnest(range(30000)) AS seq))
 SELECT player, player % 3 AS region, sum(points)::BIGINT AS score, count(*) AS events FROM e GROUP BY player""")
 def season_board(spark, d):

@@ -238,9 +238,15 @@ def gate_winners(spark, d):
     return I.winners(orders(spark, d).withColumn("at", _ordered()), "l_partkey", "at", 5).select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
 
 
+@BOOK.add("SELECT user_id, event_id, row_number() OVER w AS turn, CASE WHEN row_number() OVER w <= 5 THEN row_number() OVER w END AS token FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def single_writer(spark, d):
+    """The purchases of each user wait in one queue, with five tokens."""
+    return I.queued(writes(spark, d).select("user_id", "event_id"), "user_id", "event_id", 5)
+
+
 @BOOK.add("SELECT sum(least(n, 5))::BIGINT AS winners, sum(n - least(n, 5))::BIGINT AS bounced FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey)")
 def gate_outcomes(spark, d):
-    return I.outcomes(I.gate(orders(spark, d).withColumn("at", _ordered()), "l_partkey", "at", F.lit(5)))
+    return I.gate_outcomes(orders(spark, d), "l_partkey", F.lit(5))
 
 
 _SALES = f"(SELECT user_id AS item, event_id AS seq, {TICK} // 3600 AS tick, (event_id % 7 + 1)::DOUBLE AS qty, event_type FROM events)"

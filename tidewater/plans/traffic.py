@@ -10,6 +10,7 @@ from ..operators import hotkeys as H
 from ..operators import membership as M
 from ..operators import placement as P
 from .base import Book, table
+from .caches import TICK, trace, ttl_sql
 from .sqlparts import coin as sql_coin
 from .sqlparts import djb2 as sql_djb2
 from .sqlparts import fnv1a as sql_fnv1a
@@ -39,8 +40,7 @@ def hash_values(spark, d):
 @BOOK.add(f"SELECT count(*) AS keys, count_if(h % 4 <> h % 5)::BIGINT AS moved, count_if(h % 4 <> h % 5) / count(*) AS fraction FROM {hash32_table(KEYS, 'k')}")
 def modulo_remap(spark, d):
     k = F.col("c_custkey").cast("string")
-    keys = customers(spark, d)
-    return P.remapped(keys.withColumn("node", P.modulo(k, 4)), keys.withColumn("node", P.modulo(k, 5)), "c_custkey")
+    return P.moved(customers(spark, d).select(P.modulo(k, 4).alias("was"), P.modulo(k, 5).alias("node")))
 
 
 def _ring_sql(names) -> str:
@@ -76,13 +76,13 @@ def _remap_sql(a, b) -> str:
 @BOOK.add(_remap_sql(NODES, (*NODES, "node-E")))
 def ring_add_remap(spark, d):
     keys, four = customers(spark, d), P.ring(nodes(spark))
-    return P.remapped(P.owners(keys, "c_custkey", four), P.owners(keys, "c_custkey", four.unionByName(P.ring(nodes(spark, ("node-E",))))), "c_custkey")
+    return P.ring_remapped(keys, "c_custkey", four, four.unionByName(P.ring(nodes(spark, ("node-E",)))))
 
 
 @BOOK.add(_remap_sql((*NODES, "node-E"), ("node-A", "node-B", "node-D", "node-E")))
 def ring_remove_remap(spark, d):
     keys, five = customers(spark, d), P.ring(nodes(spark, (*NODES, "node-E")))
-    return P.remapped(P.owners(keys, "c_custkey", five), P.owners(keys, "c_custkey", P.without(five, "node-C")), "c_custkey")
+    return P.ring_remapped(keys, "c_custkey", five, P.without(five, "node-C"))
 
 
 def parts(spark, d):
@@ -122,6 +122,15 @@ def near_cache_loads(spark, d):
     return H.near_cache_loads(table(spark, d, "events", "event_id", "user_id"), "user_id", F.pmod("event_id", F.lit(4)))
 
 
+_NEAR = f"(SELECT event_type || '@' || event_id % 4 AS copy, event_type, event_id, {TICK} AS tick, 1800::BIGINT AS ttl FROM events)"
+
+
+@BOOK.add(f"{ttl_sql(_NEAR, 'copy', 'ttl')} SELECT split_part(copy, '@', 1) AS event_type, count(*) AS requests, count_if(NOT hit)::BIGINT AS loads FROM r GROUP BY 1")
+def near_cache_ttl(spark, d):
+    """Four servers keep what they read for half an hour."""
+    return H.near_cache_ttl(trace(spark, d), "event_type", F.pmod("event_id", F.lit(4)), "tick", "event_id", 1800)
+
+
 _COPY = f"user_id || '#' || floor({sql_coin('replica', 'event_id')} * 4)::BIGINT"
 
 

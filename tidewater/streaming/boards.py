@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 #: Windows of a week start on Monday; the epoch began on a Thursday.
 MONDAY = "4 days"
 
@@ -84,12 +85,7 @@ def expiring(stream: DataFrame, reservation: str, op: str, ts: str, ttl_seconds:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives for all input there is now, as a written table; in complete mode the last batch's."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidewater-")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
