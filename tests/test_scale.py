@@ -54,6 +54,12 @@ def test_ranks_over_many_ranges(spark, monkeypatch):
     assert leaderboard.ranked(board.limit(0), "member").count() == 0
 
 
+def test_ranks_without_a_score_come_last(spark):
+    board = spark.createDataFrame([("a", None), ("b", 3), ("c", -1), ("d", None), ("e", 3)], "member string, score long")
+    ranks = {r["member"]: (r["position"], r["competition"], r["dense"]) for r in leaderboard.ranked(board, "member").collect()}
+    assert ranks == {"b": (0, 1, 1), "e": (1, 1, 1), "c": (2, 3, 2), "a": (3, 4, 3), "d": (4, 4, 3)}
+
+
 def test_ranks_need_no_single_task(spark):
     board = spark.range(1000).select(F.col("id").alias("member"), (F.col("id") % 97).alias("score"))
     plan = leaderboard.ranked(board, "member")._jdf.queryExecution().executedPlan().toString()

@@ -56,11 +56,12 @@ PARTS = 16
 
 
 def _ranges(board: DataFrame) -> DataFrame:
-    """board with ``_range``: like scores share one, higher scores have lower numbers. Bounds are quantiles, RANGES at most."""
+    """board with ``_range``: like scores share one, higher scores have lower numbers, null the highest. Bounds are quantiles, RANGES at most."""
     want = min(RANGES, max(8, board.count() // TASK))
     score = F.col("score").cast("double")
     bounds = sorted(set(board.select(score.alias("score")).approxQuantile("score", [k / want for k in range(1, want)], 1 / (4 * want))))
-    return board.withColumn("_range", F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<double>"), lambda b: b > score)))
+    beyond = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<double>"), lambda b: b > score))
+    return board.withColumn("_range", F.when(score.isNull(), len(bounds) + 1).otherwise(beyond))
 
 
 def ranked(board: DataFrame, member: str, by: list[str] | None = None, member_desc: bool = False) -> DataFrame:
@@ -79,12 +80,17 @@ def ranked(board: DataFrame, member: str, by: list[str] | None = None, member_de
     if by:
         return board.select("*", *[x.cast("bigint").alias(c) for c, x in within.items()])
     cut = _ranges(board)
-    above = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over one row a range
-    sums = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("score").alias("_d"))
-    sums = sums.select("_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_n", "_d")])
-    placed = cut.select("*", *[x.alias(c) for c, x in within.items()]).join(F.broadcast(sums), "_range")
-    plus = {"position": "_n", "competition": "_n", "dense": "_d"}
-    return placed.select(*board.columns, *[(F.col(c) + F.col(x)).cast("bigint").alias(c) for c, x in plus.items()])
+    # One row for each range, so RANGES at most come to the driver. As a join with itself this would meet a constraint that
+    # Catalyst infers through the lambda of _range, for the wrong side.
+    counted = {r["_range"]: r for r in cut.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("score").alias("d")).collect()}
+    above: dict[str, list[int]] = {"n": [0], "d": [0]}
+    for i in range(max(counted, default=0)):
+        for c, sums in above.items():
+            sums.append(sums[-1] + (counted[i][c] if i in counted else 0))
+    more = {c: F.element_at(F.lit(sums).cast("array<bigint>"), F.col("_range") + 1) for c, sums in above.items()}
+    placed = cut.select("*", *[x.alias(c) for c, x in within.items()])
+    plus = {"position": "n", "competition": "n", "dense": "d"}
+    return placed.select(*board.columns, *[(F.col(c) + more[x]).cast("bigint").alias(c) for c, x in plus.items()])
 
 
 def rank_by_counts(board: DataFrame, member: str) -> DataFrame:
