@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -21,11 +20,21 @@ def folder(spark: SparkSession) -> str:
     return root
 
 
+#: Spark's setting by which a finished job's shuffle files are removed at its end, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df computed once, written under spark.checkpoint.dir and read again: a later loss of executors costs nothing of it."""
+    """df computed once, written under spark.checkpoint.dir and read again: a later loss of executors costs nothing of it. The
+    shuffle files of the job that writes it go with its end: what follows reads the table."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     again = spark.read.schema(df.schema).parquet(path)
     again._stored_at = path
     return again
@@ -40,10 +49,3 @@ def discard(*tables: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(df: DataFrame) -> None:
-    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver has collected its garbage, which may
-    take half an hour. Results do not depend on it, only how much disk is held meanwhile."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
