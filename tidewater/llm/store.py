@@ -24,6 +24,17 @@ def folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of an Arrow batch, where the session says nothing: rows are whole documents, of which Spark's 10,000 are too many to be held
+#: by a task as a batch, on both sides of the pipe to Python.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send documents to Python in batches of ROWS, unless it has a setting of its own. Results don't depend on it."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df computed once, written under spark.checkpoint.dir and read again: a later loss of executors costs nothing of it. The
     shuffle files of the job that writes it go with its end: what follows reads the table."""
@@ -31,6 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
+    small_batches(spark)
     try:
         df.write.parquet(path)
     finally:
