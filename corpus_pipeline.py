@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import decontam, jaccard, mixing, quality, sharding
 from tidewater.llm.columns import quoted
-from tidewater.llm.store import stored
+from tidewater.llm.store import small_batches, stored
 
 SHARDS = 40
 
@@ -23,6 +23,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    small_batches(spark)
     return quality.keep(docs)
 
 
