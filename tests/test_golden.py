@@ -181,6 +181,17 @@ def test_count_min_of_any_integer(spark):
     assert off[0] >= 1 and off[1] <= 1 + 20
 
 
+def test_count_min_settles_keys_that_share_counters(spark):
+    """20,000 keys on rows of 200 counters share all of them; ten keys on rows of 2,000 don't. A null is a key too."""
+    crowd = spark.range(40_000).select(F.when(F.col("id") != 5, F.col("id") % 20_000).alias("key"))
+    made = hotkeys.count_min(crowd, "key", 0.01, 0.99)
+    assert hotkeys.count_min_estimates(crowd, "key", made).agg(F.max("estimate")).first()[0] > 2
+    settled = dict(map(tuple, hotkeys.count_min_settled(crowd, "key", made).collect()))
+    assert settled == {k: 2 for k in range(20_000)} | {5: 1, None: 1}
+    few = crowd.where("key < 10")
+    assert dict(map(tuple, hotkeys.count_min_settled(few, "key", hotkeys.count_min(few, "key", 0.001, 0.99)).collect())) == {k: 1 + (k != 5) for k in range(10)}
+
+
 def test_bloom_has_no_false_negatives(spark):
     there = spark.range(1000, 2000).select(F.concat(F.lit("user:"), "id").alias("key"))
     bits = membership.slots(there, "key", 9600, 7)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -91,23 +95,56 @@ def count_min(traffic: DataFrame, key: str, eps: float, confidence: float, seed:
     return traffic.agg(F.count_min_sketch(F.col(key).cast("bigint"), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
 
+def _counters(made: DataFrame) -> DataFrame:
+    """The counters of count_min()'s sketch as rows (row, slot, n); of each row also its ``factor`` and ``width``.
+
+    The sketch holds a version and its total, 12 bytes, then depth and width (4 bytes each), a factor for each row, then the rows'
+    counters (8 bytes each).
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw in (x for batch in batches for x in batch.column(0).to_pylist()):
+            depth, width = np.frombuffer(raw, ">i4", 2, 12).tolist()
+            factors = np.frombuffer(raw, ">i8", depth, 20).astype(np.int64)
+            n = np.frombuffer(raw, ">i8", depth * width, 20 + 8 * depth).astype(np.int64)
+            row, slot = np.divmod(np.arange(depth * width, dtype=np.int64), width)
+            yield pa.RecordBatch.from_pydict({"row": row, "slot": slot, "n": n, "factor": factors[row], "width": np.full(len(n), width, np.int64)})
+
+    return made.select("sketch").mapInArrow(read, "row bigint, slot bigint, n bigint, factor bigint, width bigint")
+
+
+def _count_min_cells(keys: DataFrame, key: str, counters: DataFrame) -> DataFrame:
+    """(key, row, slot): each distinct key's cells in all rows of the sketch. A null has none."""
+    rows = counters.where(F.col("slot") == 0).agg(F.collect_list(F.struct("row", "factor", "width")).alias("_rows"))
+    low = F.lit(0xFFFFFFFF)
+
+    def cell(r: Column) -> Column:
+        part = r["factor"] * F.col("_key").bitwiseAND(low)  # factor < 2**31, so nothing is lost
+        high = F.shiftright(part, 32) + r["factor"] * F.shiftright("_key", 32)
+        return F.struct(r["row"].alias("row"), F.pmod((part.bitwiseAND(low) + high.bitwiseAND(low)).bitwiseAND(F.lit(0x7FFFFFFF)), r["width"]).alias("slot"))
+
+    asked = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_key", F.col(key).cast("bigint"))
+    return asked.join(F.broadcast(rows)).select(key, F.inline(F.transform("_rows", cell)))
+
+
 def count_min_estimates(keys: DataFrame, key: str, made: DataFrame) -> DataFrame:
     """(key, estimate) from count_min(): with its confidence at most eps times all requests too high, never too low.
 
-    The sketch (one row, of bounded size) is broadcast and read in place. It holds a version and its total, 12 bytes, then depth and width
-    (4 bytes each), a factor for each row, then the rows' counters (8 bytes each).
+    The sketch's counters, of bounded number, are broadcast as rows.
     """
-    number = lambda at, size: F.conv(F.hex(F.substring("sketch", at, size)), 16, -10).cast("bigint")
-    sized = made.select("sketch", number(F.lit(13), F.lit(4)).cast("int").alias("_d"), number(F.lit(17), F.lit(4)).cast("int").alias("_w"))
-    low = F.lit(0xFFFFFFFF)
+    counters = _counters(made)
+    found = _count_min_cells(keys, key, counters).join(F.broadcast(counters.select("row", "slot", "n")), ["row", "slot"])
+    return found.groupBy(key).agg(F.min("n").alias("estimate"))
+
 
-    def counter(row: Column) -> Column:
-        factor = number(F.lit(21) + row * 8, F.lit(8))
-        part = factor * F.col("_key").bitwiseAND(low)  # factor < 2**31, so nothing is lost
-        high = F.shiftright(part, 32) + factor * F.shiftright("_key", 32)
-        slot = F.pmod((part.bitwiseAND(low) + high.bitwiseAND(low)).bitwiseAND(F.lit(0x7FFFFFFF)), F.col("_w")).cast("int")
-        return number(F.lit(21) + F.col("_d") * 8 + (row * F.col("_w") + slot) * 8, F.lit(8))
+def count_min_settled(traffic: DataFrame, key: str, made: DataFrame) -> DataFrame:
+    """(key, estimate) for traffic's own keys from count_min(), with an exact check behind it: no estimate is too high.
 
-    asked = keys.select(key).distinct().withColumn("_key", F.col(key).cast("bigint")).join(F.broadcast(sized))
-    rows = F.sequence(F.lit(0), F.col("_d") - 1)
-    return asked.select(key, F.array_min(F.transform(rows, counter)).alias("estimate"))
+    A key that has a counter to itself has its count there. Such keys are no more than counters, so they are broadcast; a key that
+    shares all its counters with others (most do when keys outnumber counters), or is null, is counted from the traffic.
+    """
+    counters = _counters(made)
+    alone = _count_min_cells(traffic, key, counters).groupBy("row", "slot").agg(F.count(F.lit(1)).alias("_keys"), F.min(key).alias(key)).where(F.col("_keys") == 1)
+    sure = counters.join(F.broadcast(alone.select("row", "slot", key)), ["row", "slot"]).groupBy(key).agg(F.min("n").alias("estimate"))
+    shared = traffic.select(key).join(F.broadcast(sure.select(key)), key, "left_anti")
+    return sure.unionByName(shared.groupBy(key).agg(F.count(F.lit(1)).alias("estimate")))
