@@ -70,7 +70,7 @@ def as_sql(name, spark, folder, threads=1):
         return sorted(map(tuple, made.collect())), sorted(c.sql(catalog.oracle_sql()[name]).select(*made.columns).fetchall())
 
 
-@pytest.mark.parametrize("name", ["ttl_replay", "ttl_per_row"])
+@pytest.mark.parametrize("name", ["ttl_replay", "ttl_per_row", "cache_aside"])
 def test_half_seconds_go_to_the_even_one(spark, tmp_path, name):
     halves(spark, tmp_path)
     got, wanted = as_sql(name, spark, tmp_path)
