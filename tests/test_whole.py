@@ -67,7 +67,7 @@ def as_sql(name, spark, folder, threads=1):
     made = query(name, spark, folder)
     with duckdb.connect(config={"threads": threads}) as c:
         c.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
-        return sorted(map(tuple, made.collect())), sorted(c.sql(catalog.oracle_sql()[name]).select(*made.columns).fetchall())
+        return sorted(map(tuple, made.collect()), key=repr), sorted(c.sql(catalog.oracle_sql()[name]).select(*made.columns).fetchall(), key=repr)
 
 
 @pytest.mark.parametrize("name", ["ttl_replay", "ttl_per_row", "cache_aside"])
@@ -75,3 +75,18 @@ def test_half_seconds_go_to_the_even_one(spark, tmp_path, name):
     halves(spark, tmp_path)
     got, wanted = as_sql(name, spark, tmp_path)
     assert got == wanted and got
+
+
+@pytest.mark.parametrize("name", ["dense_snapshot"])
+def test_sums_are_taken_in_the_order_of_events(spark, tmp_path, name):
+    """1e17, -1e17 and 1000.0 come to 1000.0 in this order, to 992.0 if the sum of the second file is added to that of the first."""
+    (tmp_path / "events.parquet").mkdir()
+    values = [(7, 1e17), (8, 999.0), (None, 30.0), (9, None), (7, -1e17), (7, 1000.0), (8, 2.0), (None, 230.0)]
+    with duckdb.connect() as c:
+        c.sql("CREATE TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+        c.executemany("INSERT INTO e VALUES (?, TIMESTAMP '2024-01-01 10:00:00', ?, 'view', ?)", [(i, *v) for i, v in enumerate(values)])
+        for f, part in enumerate(("event_id < 4", "event_id >= 4")):
+            c.sql(f"COPY (SELECT * FROM e WHERE {part} ORDER BY event_id) TO '{tmp_path}/events.parquet/{f}.parquet'")
+    got, wanted = as_sql(name, spark, tmp_path)
+    assert got == wanted and len(got) == 4
+    assert {r["user_id"]: r["score"] for r in query(name, spark, tmp_path).collect()}[7] in (50, 4)

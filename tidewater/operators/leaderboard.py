@@ -5,6 +5,8 @@ One tie rule everywhere: score descending, then member ascending unless ``member
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -41,6 +43,23 @@ def total(events: DataFrame, member: str, delta: Column) -> DataFrame:
     return events.groupBy(member).agg(F.sum(delta).alias("score"))
 
 
+def floored_totals(events: DataFrame, by: list[str], delta: str, seq: str, width: float) -> DataFrame:
+    """(by, score): how many whole widths each group's deltas (doubles) come to, added in the order of ``seq``.
+
+    A sum of doubles depends on the order in its last places, so at a multiple of width partial sums would give now one score, now the
+    other. They stand where no order comes to another score; only groups nearer to a multiple are added in order, as sorted streams.
+    """
+    score = lambda total: F.floor(total / width)
+    fast = events.groupBy(*by).agg(F.sum(delta).alias("_sum"), F.sum(F.abs(delta)).alias("_size"), F.count(delta).alias("_n"))
+    off = F.col("_n") * F.col("_size") * 2.0**-51  # twice what two orders of n additions can differ by
+    near = fast.where(~score(F.col("_sum") - off).eqNullSafe(score(F.col("_sum") + off))).select(*[F.col(c).alias(f"_{c}") for c in by])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    upto = W.partitionBy(*by).orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
+    added = events.join(near, same, "left_semi").withColumn("_upto", F.sum(delta).over(upto))
+    exact = added.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max_by("_upto", seq).alias("_total"))
+    return fast.join(exact, same, "left").select(*by, score(F.coalesce("_total", "_sum")).alias("score"))
+
+
 def _by_rank(member: str, member_desc: bool) -> list[Column]:
     return [F.col("score").desc(), F.col(member).desc() if member_desc else F.col(member).asc()]
 

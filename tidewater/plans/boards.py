@@ -34,6 +34,10 @@ def coarse(spark: SparkSession, d: str) -> DataFrame:
     return L.total(events(spark, d, "user_id", "value"), "user_id", F.col("value")).withColumn("score", F.floor(F.col("score") / 250))
 
 
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    return L.floored_totals(L.periods(events(spark, d, "event_id", "ts", "user_id", "value"), "ts", "day"), ["period", "user_id"], "value", "event_id", 20)
+
+
 def customers(spark: SparkSession, d: str) -> DataFrame:
     region = table(spark, d, "customer", "c_custkey", "c_nationkey").join(table(spark, d, "nation", "n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
     spent = table(spark, d, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(F.sum(F.round("o_totalprice").cast("bigint")).alias("score"))
@@ -191,8 +195,7 @@ def weekly_retention(spark, d):
 @BOOK.add("""SELECT strftime(day, '%Y-%m-%d') AS day, user_id, score, dense_rank() OVER (PARTITION BY day ORDER BY score DESC) AS dense
 FROM (SELECT date_trunc('day', ts) AS day, user_id, floor(sum(value) / 20)::BIGINT AS score FROM events GROUP BY 1, 2)""")
 def dense_snapshot(spark, d):
-    daily = L.periods(events(spark, d, "ts", "user_id", "value"), "ts", "day").groupBy("period", "user_id").agg(F.floor(F.sum("value") / 20).alias("score"))
-    return L.ranked(daily, "user_id", ["period"]).select(F.date_format("period", "yyyy-MM-dd").alias("day"), "user_id", "score", "dense")
+    return L.ranked(daily(spark, d), "user_id", ["period"]).select(F.date_format("period", "yyyy-MM-dd").alias("day"), "user_id", "score", "dense")
 
 
 @BOOK.add("""SELECT strftime(day, '%Y-%m-%d') AS period, user_id, score, dense_rank() OVER (PARTITION BY day ORDER BY score DESC) AS dense
