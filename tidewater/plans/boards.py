@@ -202,8 +202,7 @@ def dense_snapshot(spark, d):
 FROM (SELECT date_trunc('day', ts) AS day, user_id, floor(sum(value) / 20)::BIGINT AS score FROM events GROUP BY 1, 2)""")
 def written_snapshot(spark, d):
     """The daily boards as they are read back from a written snapshot."""
-    daily = L.periods(events(spark, d, "ts", "user_id", "value"), "ts", "day").groupBy("period", "user_id").agg(F.floor(F.sum("value") / 20).alias("score"))
-    return L.snapshot(daily, "user_id", f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}")
+    return L.snapshot(daily(spark, d), "user_id", f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}")
 
 
 @BOOK.add(f"""WITH e AS (SELECT seq, floor(pow({sql_coin("player", "seq")}, 2.5) * 10000)::BIGINT AS player, 1 + floor({sql_coin("points", "seq")} * 50)::BIGINT AS points FROM (SELECT unnest(range(30000)) AS seq))
