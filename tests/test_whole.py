@@ -77,7 +77,7 @@ def test_half_seconds_go_to_the_even_one(spark, tmp_path, name):
     assert got == wanted and got
 
 
-@pytest.mark.parametrize("name", ["dense_snapshot", "written_snapshot"])
+@pytest.mark.parametrize("name", ["dense_snapshot", "written_snapshot", "board_ranks_by_counts"])
 def test_sums_are_taken_in_the_order_of_events(spark, tmp_path, name):
     """1e17, -1e17 and 1000.0 come to 1000.0 in this order, to 992.0 if the sum of the second file is added to that of the first."""
     (tmp_path / "events.parquet").mkdir()

@@ -114,11 +114,11 @@ def ranked(board: DataFrame, member: str, by: list[str] | None = None, member_de
 
 def rank_by_counts(board: DataFrame, member: str) -> DataFrame:
     """Competition and dense rank by way of the distinct scores: members are counted per score first, and only the
-    (score, count) rows are ordered. For boards with far fewer scores than members."""
+    (score, count) rows are ordered. For boards with far fewer scores than members. Members without a score come last."""
     counts = board.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     order = W.orderBy(F.col("score").desc())
-    above = counts.select("score", (F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).alias("competition"), F.row_number().over(order).cast("bigint").alias("dense"))
-    return board.join(above, "score").select(member, "score", "competition", "dense")
+    above = counts.select(F.col("score").alias("_score"), (F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).alias("competition"), F.row_number().over(order).cast("bigint").alias("dense"))
+    return board.join(above, F.col("score").eqNullSafe(F.col("_score"))).select(member, "score", "competition", "dense")
 
 
 def page(board: DataFrame, member: str, first: int, last: int) -> DataFrame:

@@ -31,7 +31,7 @@ def board(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coarse(spark: SparkSession, d: str) -> DataFrame:
-    return L.total(events(spark, d, "user_id", "value"), "user_id", F.col("value")).withColumn("score", F.floor(F.col("score") / 250))
+    return L.floored_totals(events(spark, d, "event_id", "user_id", "value"), ["user_id"], "value", "event_id", 250)
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
