@@ -77,6 +77,35 @@ def test_half_seconds_go_to_the_even_one(spark, tmp_path, name):
     assert got == wanted and got
 
 
+def write_events(folder, *files):
+    """Files of (event_id, second, user_id, event_type), read in this order."""
+    (folder / "events.parquet").mkdir()
+    with duckdb.connect() as c:
+        for f, rows in enumerate(files):
+            c.sql(f"CREATE TABLE e{f} (event_id BIGINT, second BIGINT, user_id BIGINT, event_type VARCHAR)")
+            c.executemany(f"INSERT INTO e{f} VALUES (?, ?, ?, ?)", rows)
+            c.sql(f"COPY (SELECT event_id, make_timestamp(second * 1000000) AS ts, user_id, event_type, 1.0::DOUBLE AS value FROM e{f}) TO '{folder}/events.parquet/{f}.parquet'")
+
+
+@pytest.mark.parametrize("name", ["ttl_per_row"])
+def test_unknown_moments_hit_or_miss_unknown(spark, tmp_path, name):
+    """User 1 has known moments and unknown ones, user 2 unknown ones alone, of which the first misses."""
+    known = [(i, 100 + 2000 * (i % 7), 1, ("view", "purchase", "click")[i % 3]) for i in range(20, 60)]
+    write_events(tmp_path, [*[(i, None, 1, "view") for i in range(5)], *known, *[(i, None, 2, "click") for i in range(70, 73)]])
+    got, wanted = as_sql(name, spark, tmp_path)
+    assert got == wanted and sum(r[1] is None for r in got) >= 5
+
+
+@pytest.mark.parametrize("larger", [0, 1])
+def test_ties_are_taken_alike_in_any_order_of_rows(spark, tmp_path, larger):
+    """Two events alike in user, second and id: the shorter life is loaded, whichever file is read first (the larger); SQL leaves that open."""
+    files = [[(1, 0, 5, "view"), (2, 5000, 5, "click")], [(1, 0, 5, "purchase")]]
+    files[larger] += [(i, 20000 + i * i, 6, "error") for i in range(10, 500)]
+    write_events(tmp_path, *files)
+    got = sorted((r["event_id"], r["hit"]) for r in query("ttl_per_row", spark, tmp_path).where("user_id = 5").collect())
+    assert got == [(1, False), (1, True), (2, False)]
+
+
 @pytest.mark.parametrize("name", ["dense_snapshot", "written_snapshot", "board_ranks_by_counts"])
 def test_sums_are_taken_in_the_order_of_events(spark, tmp_path, name):
     """1e17, -1e17 and 1000.0 come to 1000.0 in this order, to 992.0 if the sum of the second file is added to that of the first."""

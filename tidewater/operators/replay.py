@@ -19,21 +19,24 @@ from pyspark.sql.window import Window as W
 
 
 def _lives(batches: Iterator[pa.RecordBatch], inclusive: bool) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (key, at, ord), with ``hit`` in place of ``first`` and ``ttl``. Between batches only the end of the entry that
-    lives is held; a load jumps to the first access beyond its end."""
+    """Rows in the order of (key, at, ord), unknown moments last in a key, with ``hit`` in place of ``first`` and ``ttl``. Between batches
+    only the end of the entry that lives is held; a load jumps to the first access beyond its end."""
     side = "left" if inclusive else "right"
     most = np.iinfo(np.int64).max
     end: int | None = None
     for batch in batches:
         column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
-        at = column("at").fill_null(0).to_numpy()
+        at, known = column("at").fill_null(0).to_numpy(), column("at").is_valid().to_numpy(zero_copy_only=False)
         lives = column("ttl").to_pylist()
         first = np.flatnonzero(column("first").to_numpy(zero_copy_only=False))
-        hit = np.ones(len(at), bool)
+        hit, told = np.ones(len(at), bool), known.copy()
         cuts = sorted({0, *first.tolist()})
         for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
             if lo or (len(first) and first[0] == 0):
                 end = None
+                if lo < hi and not known[lo]:
+                    hit[lo], told[lo] = False, True
+            hi = lo + int(known[lo:hi].sum())
             place = lo if end is None else lo + int(np.searchsorted(at[lo:hi], end, side))
             while place < hi:
                 hit[place] = False
@@ -41,19 +44,21 @@ def _lives(batches: Iterator[pa.RecordBatch], inclusive: bool) -> Iterator[pa.Re
                 # A life of no length may end before the next access at the same moment.
                 place += 1 + int(np.searchsorted(at[place + 1 : hi], end, side)) if end < most else hi
         kept = [c for c in batch.schema.names if c not in ("first", "ttl")]
-        yield pa.RecordBatch.from_arrays([*[column(c) for c in kept], pa.array(hit)], names=[*kept, "hit"])
+        yield pa.RecordBatch.from_arrays([*[column(c) for c in kept], pa.array(hit, mask=~told)], names=[*kept, "hit"])
 
 
 def ttl_replay(trace: DataFrame, key: str, at: str, order: str, ttl: Column | int | None, inclusive: bool = False) -> DataFrame:
     """Read-through replay: trace's (key, at, order) with ``hit``. A miss loads; an entry lives ``ttl`` from its load, not
-    from its last use; a ttl of null never ends. ``at`` is a BIGINT; ``order`` makes the order total.
+    from its last use; a ttl of null never ends. ``at`` is a BIGINT; ``order`` makes the order total; of accesses alike in both that
+    with the shortest life comes first. Where ``at`` is null ``hit`` is null, but for a miss where a key has no other moments.
 
     Keys are sorted through by their tasks as a stream: one end of life is held, however long a key's history is.
     """
     life = F.lit(ttl).cast("bigint") if not isinstance(ttl, Column) else ttl.cast("bigint")
     seen = trace.select(key, F.col(at).cast("bigint").alias("at"), F.col(order).alias("ord"), life.alias("ttl"))
-    first = F.row_number().over(W.partitionBy(key).orderBy("at", "ord")) == 1
-    rows = seen.withColumn("first", first).sortWithinPartitions(key, "at", "ord")
+    turn = [F.asc_nulls_last(c) for c in ("at", "ord", "ttl")]
+    first = F.row_number().over(W.partitionBy(key).orderBy(*turn)) == 1
+    rows = seen.withColumn("first", first).sortWithinPartitions(key, *turn)
     kinds = T.StructType([*[rows.schema[c] for c in (key, "at", "ord")], T.StructField("hit", T.BooleanType())])
     return rows.mapInArrow(lambda batches: _lives(batches, inclusive), kinds).select(key, F.col("at").alias(at), F.col("ord").alias(order), "hit")
 
