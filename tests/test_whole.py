@@ -87,7 +87,7 @@ def write_events(folder, *files):
             c.sql(f"COPY (SELECT event_id, make_timestamp(second * 1000000) AS ts, user_id, event_type, 1.0::DOUBLE AS value FROM e{f}) TO '{folder}/events.parquet/{f}.parquet'")
 
 
-@pytest.mark.parametrize("name", ["ttl_per_row"])
+@pytest.mark.parametrize("name", ["ttl_per_row", "cache_aside"])
 def test_unknown_moments_hit_or_miss_unknown(spark, tmp_path, name):
     """User 1 has known moments and unknown ones, user 2 unknown ones alone, of which the first misses."""
     known = [(i, 100 + 2000 * (i % 7), 1, ("view", "purchase", "click")[i % 3]) for i in range(20, 60)]
@@ -106,6 +106,16 @@ def test_ties_are_taken_alike_in_any_order_of_rows(spark, tmp_path, larger):
     assert got == [(1, False), (1, True), (2, False)]
 
 
+@pytest.mark.parametrize("larger", [0, 1])
+def test_writes_come_before_reads_of_the_same_id(spark, tmp_path, larger):
+    """A write and a read share an id: the read misses, as in SQL, whichever file is read first (the larger)."""
+    files = [[(1, 0, 5, "view"), (2, 60, 5, "view"), (3, 120, 5, "click")], [(2, 50, 5, "purchase")]]
+    files[larger] += [(i, 20000 + i * i, 6, "error") for i in range(10, 500)]
+    write_events(tmp_path, *files)
+    got, wanted = as_sql("cache_aside", spark, tmp_path)
+    assert got == wanted and {r[2:] for r in got if r[0] == 5} == {(1, False), (2, False), (3, True)}
+
+
 @pytest.mark.parametrize("name", ["dense_snapshot", "written_snapshot", "board_ranks_by_counts"])
 def test_sums_are_taken_in_the_order_of_events(spark, tmp_path, name):
     """1e17, -1e17 and 1000.0 come to 1000.0 in this order, to 992.0 if the sum of the second file is added to that of the first."""

@@ -10,11 +10,12 @@ from pyspark.sql.window import Window as W
 def cache_aside(log: DataFrame, key: str, seq: str, at: str, is_write: str, ttl: int) -> DataFrame:
     """Reads of a log with ``hit``: a write deletes the key's entry, the next read misses and loads it for ``ttl``.
 
-    Between two writes a history is a plain replay, so (key, writes so far) is the unit of parallel work.
+    Between two writes a history is a plain replay, so (key, writes so far) is the unit of parallel work. A read of the same
+    ``seq`` as a write of its key comes after that write.
     """
     from .replay import ttl_replay
 
-    upto = W.partitionBy(key).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(key).orderBy(F.asc_nulls_last(seq)).rangeBetween(W.unboundedPreceding, W.currentRow)
     era = log.withColumn("era", F.count_if(F.col(is_write)).over(upto)).where(~F.col(is_write))
     unit = F.struct(F.col(key).alias("key"), "era")
     return ttl_replay(era.withColumn("unit", unit), "unit", at, seq, ttl).select(F.col("unit.key").alias(key), at, seq, "hit")
